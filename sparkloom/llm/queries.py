@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.language_id import held_out, identify, train
-from sparkloom.llm import ngram_join
+from sparkloom.llm import mixing, ngram_join
 from sparkloom.llm import quality as quality_rules
 from sparkloom.llm.token_counts import token_counts
 
@@ -32,6 +32,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
 
 
+def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_language_id": op2_language_id,
+        "op4_mix_to_weights": op4_mix_to_weights,
         "op6_quality_rules": op6_quality_rules,
         "op9_token_counts": op9_token_counts,
     }
