@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.language_id import held_out, identify, train
 from sparkloom.llm import mixing, ngram_join
 from sparkloom.llm import quality as quality_rules
+from sparkloom.llm import secrets
 from sparkloom.llm.token_counts import token_counts
 
 
@@ -44,6 +45,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), forest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_to_weights": op4_mix_to_weights,
         "op6_quality_rules": op6_quality_rules,
         "op9_token_counts": op9_token_counts,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
