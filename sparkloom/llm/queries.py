@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.language_id import held_out, identify, train
 from sparkloom.llm import mixing, ngram_join
 from sparkloom.llm import quality as quality_rules
-from sparkloom.llm import secrets
+from sparkloom.llm import secrets, sentencepiece_scan
 from sparkloom.llm.token_counts import token_counts
 
 
@@ -33,6 +33,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_language_id": op2_language_id,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_mix_to_weights": op4_mix_to_weights,
         "op6_quality_rules": op6_quality_rules,
         "op9_token_counts": op9_token_counts,
