@@ -161,3 +161,16 @@ def mix(
         "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"),
         (F.col("parts") / UNIT).alias("rate"), "source",
     )
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """`docs` with every row as often as the mix takes it (0 to 2 times); columns stay as they are."""
+    mixed = mix(docs, id_col, source_col, text_col, **how)
+    copies = mixed.groupBy("doc_id", "source", "size").agg(F.min("copies").alias("__copies")).select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies"
+    )
+    size = words_in(F.col(f"`{text_col}`").cast("string"))
+    match = _same(F.col(f"`{id_col}`"), F.col("__id")) & _same(F.col(f"`{source_col}`"), F.col("__source")) & (size == F.col("__size"))
+    once = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__once")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(copies, match).select(*columns, once).drop("__once")
