@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.language_id import held_out, identify, train
 from sparkloom.llm import mixing, ngram_join
 from sparkloom.llm import quality as quality_rules
-from sparkloom.llm import secrets, sentencepiece_scan
+from sparkloom.llm import secrets, sentencepiece_scan, toxicity
 from sparkloom.llm.token_counts import token_counts
 
 
@@ -41,6 +41,12 @@ def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(mod=5, fold=0))
+    return toxicity.score(docs, model).withColumn("held_out", held_out(mod=5, fold=0))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_mix_to_weights": op4_mix_to_weights,
+        "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_secret_scan": op10_secret_scan,
