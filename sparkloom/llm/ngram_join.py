@@ -28,6 +28,8 @@ _FLUSH = 2_000_000
 #: Frequent shingles that are known to all tasks: 12 bytes each, so a broadcast of at most 12 MB at any input size.
 MAX_FREQUENT = 1_000_000
 _SALT_EVERY = 200_000
+#: Wanted texts whose ids are sent to all tasks (8 bytes each, 1.6 MB at most); beyond it the ids are joined.
+MAX_FEW = 200_000
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -47,7 +49,7 @@ def _digest(r: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.n
     return n, mix(a + size, 13), mix(b ^ size, 14)
 
 
-def shingle_digests(docs: DataFrame, k: int, least_local: int = 4) -> DataFrame:
+def shingle_digests(docs: DataFrame, k: int, least_local: int = 3) -> DataFrame:
     """Rows of documents (doc_id, n, h1, h2) and rows of locally frequent shingles (token, df)."""
 
     def run(batches):
@@ -97,7 +99,10 @@ def _prefix(r: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray, orde
 
 
 def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int, orders: int, n_buckets: int, parts: int) -> DataFrame:
-    """(ord, list_id, h1, hub): the classes that share an index token, with the smallest class of the list."""
+    """(ord, list_id, h1, hub, times): the classes that share index tokens, with the smallest class of the list.
+
+    Tokens with equal lists are one list, `times` their number. A salted token's lists of one class may stand alone.
+    """
     tokens, counts = frequent
     shared = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
@@ -115,13 +120,14 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
                 if not mine:
                     continue
                 t, c, b = (np.concatenate([x[i] for x in mine]) for i in range(3))
+                t = (t >> _U(32)).astype(np.uint32)  # the bucket tells the other bits; a false match only adds a candidate
                 by = np.argsort(b, kind="stable")
                 t, c, b = t[by], c[by], b[by]
                 cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
                 end = np.r_[cut[1:], len(b)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((b[cut] * orders + o).astype(np.int64)),
+                        pa.array(b[cut] * orders + o),
                         pa.array([t[x:y].tobytes() for x, y in zip(cut, end, strict=True)], pa.binary()),
                         pa.array([c[x:y].tobytes() for x, y in zip(cut, end, strict=True)], pa.binary()),
                     ],
@@ -155,7 +161,7 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
                     # A token with very many classes is dealt over several buckets; its lists keep one id.
                     b = mix(t, 55)
                     many = salts[take] > 1
-                    b = np.where(many, mix(b + mix(c, 56) % salts[take], 57), b) % _U(n_buckets)
+                    b = np.where(many, _U(n_buckets) + mix(b + mix(c, 56) % salts[take], 57) % _U(n_buckets), b % _U(n_buckets))
                     pool.append((t, c, b.astype(np.int64), o))
                     held += len(t)
                 if held >= _FLUSH:
@@ -167,8 +173,8 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
     def lists(batches):
         for batch in batches:
             for bucket, tokens, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                o = bucket % orders
-                t = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in tokens])
+                o, salted = bucket % orders, bucket // orders >= n_buckets
+                t = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in tokens])
                 c = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in classes])
                 by = np.lexsort((c, t))
                 t, c = t[by], c[by]
@@ -177,10 +183,13 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
                 cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
                 m = np.diff(np.r_[cut, len(t)])
                 # Equal lists of different tokens are one list; a salted token keeps the token's id.
-                ids = mix(np.add.reduceat(mix(c, 21), cut) + m.astype(np.uint64), 22)
-                ids = np.where(m > _SALT_EVERY // 4, mix(t[cut], 23), ids)
-                _, once = np.unique(ids, return_index=True)
-                once = once[m[once] > 1]
+                if salted:
+                    ids = mix(t[cut].astype(np.uint64), 23)
+                    once, times = np.arange(len(ids)), np.ones(len(ids), dtype=np.int64)
+                else:
+                    ids = mix(np.add.reduceat(mix(c, 21), cut) + m.astype(np.uint64), 22)
+                    _, once, times = np.unique(ids, return_index=True, return_counts=True)
+                    once, times = once[m[once] > 1], times[m[once] > 1]
                 if not len(once):
                     continue
                 pick = np.repeat(cut[once] - (np.cumsum(m[once]) - m[once]), m[once]) + np.arange(int(m[once].sum()))
@@ -190,15 +199,18 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
                         _long(np.repeat(ids[once], m[once])),
                         _long(c[pick]),
                         _long(np.repeat(c[cut[once]], m[once])),
+                        pa.array(np.repeat(times, m[once]).astype(np.int64)),
                     ],
-                    names=["ord", "list_id", "h1", "hub"],
+                    names=["ord", "list_id", "h1", "hub", "times"],
                 )
 
     packed = docs.select("text").mapInArrow(pack, "bucket long, tokens binary, classes binary")
     grouped = packed.repartition(parts, "bucket").groupBy("bucket").agg(
         F.collect_list("tokens").alias("tokens"), F.collect_list("classes").alias("classes")
     )
-    return grouped.mapInArrow(lists, "ord int, list_id long, h1 long, hub long")
+    return grouped.mapInArrow(lists, "ord int, list_id long, h1 long, hub long, times long").groupBy(
+        "ord", "list_id", "h1", "hub"
+    ).agg(F.sum("times").alias("times"))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, chunk: int = 512) -> DataFrame:
@@ -237,6 +249,10 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int,
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
+    # Few wanted texts are looked up in the scan; more are joined by id.
+    few = pairs.count() * 2 <= MAX_FEW
+    if few:
+        texts = texts.join(F.broadcast(want.select("doc_id").distinct()), "doc_id", "left_semi")
     return (
         want.join(texts, "doc_id")
         .select("a", "chunk", "role", "doc_id", "h", "text")
@@ -277,15 +293,23 @@ def ngram_components(
     )
     total = classes.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(parts, int(total * (100 - percent) / 100 / 400_000) + 1) * 2
-    lists = durable(prefix_lists(docs, frequent, k, percent, orders, n_buckets, parts).distinct())
+    lists = durable(prefix_lists(docs, frequent, k, percent, orders, n_buckets, parts))
+
+    # Two sets with c common prefix tokens in an order share at most c more than either has behind its prefix.
+    behind = lambda n: F.ceil(n * percent / 100.0) - 1
+    need = lambda x, y: F.ceil((x + y) * (percent / (100.0 + percent)) - 1e-9)
+    enough = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (
+        F.col("least_times") + F.greatest(behind(F.col("na")), behind(F.col("nb"))) >= need(F.col("na"), F.col("nb"))
+    )
+    every = (F.count("*") == orders).alias("every")
 
     # First the links to the smallest class of a list that every order agrees on.
     reps = classes.filter("rep is not null").select("h1", "n", "rep")
-    hubs = lists.filter("h1 <> hub").groupBy("h1", "hub").agg(F.count_distinct("ord").alias("found")).filter(F.col("found") == orders)
+    hubs = lists.filter("h1 <> hub").groupBy("h1", "hub", "ord").agg(F.sum("times").alias("times"))
+    hubs = hubs.groupBy("h1", "hub").agg(F.min("times").alias("least_times"), every).filter("every")
     a = reps.select(F.col("h1").alias("hub"), F.col("n").alias("na"), F.col("rep").alias("ra"))
     b = reps.select("h1", F.col("n").alias("nb"), F.col("rep").alias("rb"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    star = hubs.join(a, "hub").join(b, "h1").filter(fits & (F.col("ra") != F.col("rb"))).select(
+    star = hubs.join(a, "hub").join(b, "h1").filter(enough & (F.col("ra") != F.col("rb"))).select(
         F.col("ra").alias("a"), F.col("hub").alias("ha"), F.col("rb").alias("b"), F.col("h1").alias("hb")
     ).distinct()
     links = durable(verify(docs, durable(star), k, percent, parts))
@@ -295,17 +319,18 @@ def ngram_components(
     home = durable(
         reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     )
-    entries = lists.select("ord", "list_id", "h1").join(home, "h1")
+    entries = lists.select("ord", "list_id", "h1", "times").join(home, "h1")
     split = entries.groupBy("ord", "list_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     open_ = entries.join(split.select("ord", "list_id"), ["ord", "list_id"])
     agreed = open_.groupBy("rep").agg(F.count_distinct("ord").alias("found")).filter(F.col("found") == orders).select("rep")
-    open_ = durable(open_.join(agreed, "rep").select("ord", "list_id", "h1", "n", "rep", "component").distinct())
-    x = open_.select("ord", "list_id", F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("rep").alias("a"), F.col("component").alias("ca"))
+    open_ = durable(open_.join(agreed, "rep").select("ord", "list_id", "times", "h1", "n", "rep", "component"))
+    x = open_.select("ord", "list_id", "times", F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("rep").alias("a"), F.col("component").alias("ca"))
     y = open_.select("ord", "list_id", F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("rep").alias("b"), F.col("component").alias("cb"))
-    crossed = x.join(y, ["ord", "list_id"]).filter((F.col("ca") < F.col("cb")) & fits).groupBy("a", "ha", "b", "hb").agg(
-        F.count_distinct("ord").alias("found")
-    ).filter(F.col("found") == orders).drop("found")
-    crossed = durable(crossed)
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    met = x.join(y, ["ord", "list_id"]).filter((F.col("ca") < F.col("cb")) & sizes)
+    met = met.groupBy("a", "ha", "na", "b", "hb", "nb", "ord").agg(F.sum("times").alias("times"))
+    met = met.groupBy("a", "ha", "na", "b", "hb", "nb").agg(F.min("times").alias("least_times"), every)
+    crossed = durable(met.filter(F.col("every") & enough).select("a", "ha", "b", "hb"))
     if not crossed.isEmpty():
         more = durable(verify(docs, crossed, k, percent, parts))
         comp = connected(links.unionByName(more))

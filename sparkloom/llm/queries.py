@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.language_id import held_out, identify, train
-from sparkloom.llm import mixing, ngram_join
+from sparkloom.llm import mixing, ngram_join, pages
 from sparkloom.llm import quality as quality_rules
 from sparkloom.llm import secrets, sentencepiece_scan, toxicity
 from sparkloom.llm.token_counts import token_counts
@@ -51,6 +51,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_to_weights": op4_mix_to_weights,
         "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
+        "op8_html_text": op8_html_text,
         "op9_token_counts": op9_token_counts,
         "op10_secret_scan": op10_secret_scan,
     }
