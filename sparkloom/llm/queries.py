@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.language_id import held_out, identify, train
 from sparkloom.llm import mixing, ngram_join, pages
 from sparkloom.llm import quality as quality_rules
-from sparkloom.llm import secrets, sentencepiece_scan, toxicity
+from sparkloom.llm import search, secrets, sentencepiece_scan, toxicity
 from sparkloom.llm.token_counts import token_counts
 
 
@@ -51,6 +51,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_to_weights": op4_mix_to_weights,
         "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
+        "op7_topk_search": op7_topk_search,
         "op8_html_text": op8_html_text,
         "op9_token_counts": op9_token_counts,
         "op10_secret_scan": op10_secret_scan,
@@ -82,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": ngram_join.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
+        "op7_topk_search": search.ORACLE,
     }
