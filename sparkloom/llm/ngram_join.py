@@ -1,13 +1,15 @@
 """Near-duplicate join on word n-grams (Jaccard) with multiple-global-order filtering.
 
 1. One pass over the texts gives each document the size and a 128-bit digest of its set of k-word shingles. Equal sets
-   are one class; only classes go on. The pass also counts shingles, so that frequent ones stand last in every order.
+   are one class; only classes go on. Another pass counts all shingles, so that the most frequent ones stand last in every order.
 2. In each of several global token orders (rare levels first, then a different permutation per order) a set of n
    shingles puts its first n - ceil(t * n) + 1 into an index. Two sets with similarity t or more share an index token
    in every order. Index tokens travel as packed arrays, not as rows.
 3. Lists of classes that share a token link each class to the smallest one in the list. Links found under every order
    are verified exactly; what they connect is contracted.
-4. Every pair of classes that is still in different components, passes the length filter and shares prefix tokens in
+4. Lists whose classes lie in several components are tested against another of their classes, round by round, as long
+   as that finds links.
+5. Every pair of classes that is still in different components, passes the length filter and shares prefix tokens in
    every order is verified as well, so no component misses a link, while pairs inside a component are never listed.
 
 Verified means: whole texts side by side, 100 * intersection >= 100 * t * union on their shingle sets.
@@ -25,11 +27,12 @@ from sparkloom.llm.components import connected, durable
 
 _U = np.uint64
 _FLUSH = 2_000_000
-#: Frequent shingles that are known to all tasks: 12 bytes each, so a broadcast of at most 12 MB at any input size.
+#: Frequent shingles that are known to all tasks: 12 bytes each, so a broadcast of at most 12 MB at any input size. They
+#: only shape the orders; with more of them than this the results stay the same.
 MAX_FREQUENT = 1_000_000
 _SALT_EVERY = 200_000
-#: Wanted texts whose ids are sent to all tasks (8 bytes each, 1.6 MB at most); beyond it the ids are joined.
-MAX_FEW = 200_000
+#: Wanted texts whose ids are sent to all tasks (8 bytes each, 8 MB at most); beyond it the ids are joined.
+MAX_FEW = 1_000_000
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -49,41 +52,80 @@ def _digest(r: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.n
     return n, mix(a + size, 13), mix(b ^ size, 14)
 
 
-def shingle_digests(docs: DataFrame, k: int, least_local: int = 3) -> DataFrame:
-    """Rows of documents (doc_id, n, h1, h2) and rows of locally frequent shingles (token, df)."""
+def shingle_digests(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, h1, h2) of every row."""
 
     def run(batches):
+        for batch in batches:
+            for first, rows, r, h in texts_to_shingles(batch.column(1), k):
+                n, h1, h2 = _digest(r, h, rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(n), _long(h1), _long(h2)], names=["doc_id", "n", "h1", "h2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+
+
+def _new_classes(n: np.ndarray, h1: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows bring a shingle set that the task hasn't had yet."""
+    new = np.zeros(len(n), dtype=bool)
+    for i, x in enumerate(h1.tolist()):
+        if n[i] and x not in seen:
+            seen.add(x)
+            new[i] = True
+    return new
+
+
+def _short(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's bucket and 32 more of its bits; the rare false match only makes a candidate or moves a place."""
+    return mix(h, 55) % _U(n_buckets), (h >> _U(32)).astype(np.uint32)
+
+
+def frequent_shingles(docs: DataFrame, k: int, n_buckets: int, parts: int, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of the shingles in most classes, at most MAX_FREQUENT: every shingle is counted, in packed arrays."""
+
+    def pack(batches):
         seen: set[int] = set()
         pool: list[np.ndarray] = []
         held = 0
 
-        def frequent():
-            values, counts = np.unique(np.concatenate(pool), return_counts=True)
-            keep = counts >= least_local
-            m = int(keep.sum())
-            none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, _long(values[keep]), pa.array(counts[keep].astype(np.int64))], names=names)
+        def flush():
+            b, t = _short(np.concatenate(pool), n_buckets)
+            by = np.argsort(b, kind="stable")
+            b, t = b[by], t[by]
+            cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            blobs = [t[x:y].tobytes() for x, y in zip(cut, np.r_[cut[1:], len(b)], strict=True)]
+            return pa.RecordBatch.from_arrays([_long(b[cut]), pa.array(blobs, pa.binary())], names=["bucket", "tokens"])
 
-        names = ["doc_id", "n", "h1", "h2", "token", "df"]
         for batch in batches:
-            for first, rows, r, h in texts_to_shingles(batch.column(1), k):
-                n, h1, h2 = _digest(r, h, rows)
-                none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(n), _long(h1), _long(h2), none, none], names=names)
-                new = np.zeros(rows, dtype=bool)
-                for i, x in enumerate(h1.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        new[i] = True
-                pool.append(h[new[r]])
+            for _, rows, r, h in texts_to_shingles(batch.column(0), k):
+                n, h1, _ = _digest(r, h, rows)
+                pool.append(h[_new_classes(n, h1, seen)[r]])
                 held += len(pool[-1])
                 if held >= _FLUSH:
-                    yield frequent()
+                    yield flush()
                     pool, held = [], 0
         if held:
-            yield frequent()
+            yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, token long, df long")
+    def count(batches):
+        for batch in batches:
+            for bucket, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t, c = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in tokens]), return_counts=True)
+                t, c = t[c >= least], c[c >= least]
+                yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) | t.astype(np.int64)), pa.array(c.astype(np.int64))], names=["key", "df"])
+
+    packed = docs.select("text").mapInArrow(pack, "bucket long, tokens binary")
+    grouped = packed.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("tokens").alias("tokens"))
+    counts = durable(grouped.mapInArrow(count, "key long, df long"))
+    # The smallest count whose shingles fit the bound, from a histogram of at most 4,096 rows.
+    left, floor = MAX_FREQUENT, 4097
+    for r in counts.groupBy(F.least("df", F.lit(4096)).alias("df")).agg(F.count("*").alias("m")).orderBy(F.desc("df")).collect():
+        if r["m"] > left:
+            break
+        left, floor = left - r["m"], r["df"]
+    top = counts.filter(F.col("df") >= floor).toArrow()
+    keys = top["key"].to_numpy().view(np.uint64)
+    by = np.argsort(keys)
+    return keys[by].copy(), np.minimum(top["df"].to_numpy()[by], 2**31 - 1).astype(np.int32)
 
 
 def _prefix(r: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
@@ -109,7 +151,7 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
     def pack(batches):
         common, df = shared.value
         maybe = np.zeros(1 << 22, dtype=bool)
-        maybe[(common & _U((1 << 22) - 1)).astype(np.int64)] = True
+        maybe[(common & _U((1 << 22) - 1)).astype(np.int64)] = True  # the low bits of a key are bits of its shingle
         seen: set[int] = set()
         pool: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
         held = 0
@@ -120,7 +162,6 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
                 if not mine:
                     continue
                 t, c, b = (np.concatenate([x[i] for x in mine]) for i in range(3))
-                t = (t >> _U(32)).astype(np.uint32)  # the bucket tells the other bits; a false match only adds a candidate
                 by = np.argsort(b, kind="stable")
                 t, c, b = t[by], c[by], b[by]
                 cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
@@ -137,31 +178,28 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
         for batch in batches:
             for _, rows, r, h in texts_to_shingles(batch.column(0), k):
                 n, h1, _ = _digest(r, h, rows)
-                new = np.zeros(rows, dtype=bool)
-                for i, x in enumerate(h1.tolist()):
-                    if n[i] and x not in seen:
-                        seen.add(x)
-                        new[i] = True
+                new = _new_classes(n, h1, seen)
                 use = new[r]
                 if not use.any():
                     continue
                 r, h = r[use], h[use]
                 n = np.where(new, n, 0)
                 level, salts = np.zeros(len(h), dtype=np.uint64), np.ones(len(h), dtype=np.uint64)
+                bucket, short = _short(h, n_buckets)
                 if len(common):
-                    at = np.flatnonzero(maybe[(h & _U((1 << 22) - 1)).astype(np.int64)])
-                    pos = np.minimum(np.searchsorted(common, h[at]), len(common) - 1)
-                    hit = common[pos] == h[at]
+                    at = np.flatnonzero(maybe[(short & np.uint32((1 << 22) - 1)).astype(np.int64)])
+                    key = (bucket[at] << _U(32)) | short[at].astype(np.uint64)
+                    pos = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                    hit = common[pos] == key
                     at, found = at[hit], df[pos[hit]].astype(np.int64)
                     level[at] = np.minimum(np.floor(np.log2(np.maximum(found, 1))).astype(np.int64) + 1, 63).astype(np.uint64)
                     salts[at] = (1 + found // _SALT_EVERY).astype(np.uint64)
                 for o in range(orders):
                     take = _prefix(r, h, n, level, o, percent)
-                    t, c = h[take], h1[r[take]]
+                    t, c, b = short[take], h1[r[take]], bucket[take]
                     # A token with very many classes is dealt over several buckets; its lists keep one id.
-                    b = mix(t, 55)
                     many = salts[take] > 1
-                    b = np.where(many, _U(n_buckets) + mix(b + mix(c, 56) % salts[take], 57) % _U(n_buckets), b % _U(n_buckets))
+                    b = np.where(many, _U(n_buckets) + mix(mix(h[take], 58) + mix(c, 56) % salts[take], 57) % _U(n_buckets), b)
                     pool.append((t, c, b.astype(np.int64), o))
                     held += len(t)
                 if held >= _FLUSH:
@@ -269,6 +307,7 @@ def ngram_components(
     k: int = 5,
     percent: int = 80,
     orders: int = 2,
+    max_rounds: int = 12,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable by links) and n_copies.
 
@@ -280,19 +319,13 @@ def ngram_components(
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = durable(shingle_digests(docs, k))
-    rows = both.filter("token is null").select("doc_id", "n", "h1", "h2")
-    top = (
-        both.filter("token is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).toPandas()
-    )
-    tokens = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    by = np.argsort(tokens)
-    frequent = (tokens[by].copy(), np.minimum(top["df"].to_numpy(dtype=np.int64)[by], 2**31 - 1).astype(np.int32))
+    rows = durable(shingle_digests(docs, k))
     classes = durable(
         rows.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     )
     total = classes.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(parts, int(total * (100 - percent) / 100 / 400_000) + 1) * 2
+    frequent = frequent_shingles(docs, k, n_buckets, parts)
     lists = durable(prefix_lists(docs, frequent, k, percent, orders, n_buckets, parts))
 
     # Two sets with c common prefix tokens in an order share at most c more than either has behind its prefix.
@@ -315,25 +348,61 @@ def ngram_components(
     links = durable(verify(docs, durable(star), k, percent, parts))
     comp = connected(links)
 
-    # Then every pair of different components that every order lists.
+    # Lists of one component need no more tests. While a list's classes keep finding each other, all of them are held
+    # against one of them again, another one each round; every round's work is in proportion to its entries.
     home = durable(
         reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     )
-    entries = lists.select("ord", "list_id", "h1", "times").join(home, "h1")
+    members = lists.select("ord", "list_id", "times", "h1").join(reps, "h1")
+    sums = ["a", "ha", "na", "b", "hb", "nb"]
+
+    def agreed(met: DataFrame) -> DataFrame:
+        """The pairs that every order lists and whose common prefix tokens are enough in each."""
+        met = met.groupBy(*sums, "ord").agg(F.sum("times").alias("times")).groupBy(*sums).agg(F.min("times").alias("least_times"), every)
+        return durable(met.filter(F.col("every") & enough).select("a", "ha", "b", "hb"))
+
+    for turn in range(max_rounds + 1):
+        entries = members.join(home.select("rep", "component"), "rep")
+        split = entries.groupBy("ord", "list_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        open_ = entries.join(split.select("ord", "list_id"), ["ord", "list_id"])
+        both = open_.groupBy("rep").agg(F.count_distinct("ord").alias("found")).filter(F.col("found") == orders).select("rep")
+        open_ = durable(open_.join(both, "rep").select("ord", "list_id", "times", "h1", "n", "rep", "component"))
+        members = open_.drop("component")
+        x = open_.select("ord", "list_id", "times", F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("rep").alias("b"), F.col("component").alias("cb"))
+        if turn < max_rounds:
+            one = F.min(F.struct(F.xxhash64("h1", F.lit(turn)).alias("u"), F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("rep").alias("a"), F.col("component").alias("ca")))
+            y = open_.groupBy("ord", "list_id").agg(one.alias("one")).select("ord", "list_id", "one.*")
+            pairs = agreed(x.join(y, ["ord", "list_id"]).filter("ca <> cb"))
+            more = durable(verify(docs, pairs, k, percent, parts).distinct())
+            tested, found = pairs.count(), more.count()
+            last = found * 20 < tested
+        else:
+            last, found = True, 0
+        if found:
+            at = home.select("rep", "component")
+            edges = more.join(at.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
+            joined = connected(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("component", "new")
+            home = durable(
+                home.join(joined, home["component"] == joined["node"], "left").select("rep", "h1", "n", F.coalesce("new", "component").alias("component"))
+            )
+        if last or not found:
+            break
+
+    # What is left: every pair of different components that every order lists.
+    at = home.select("rep", "component")
+    entries = members.join(at, "rep")
     split = entries.groupBy("ord", "list_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_ = entries.join(split.select("ord", "list_id"), ["ord", "list_id"])
-    agreed = open_.groupBy("rep").agg(F.count_distinct("ord").alias("found")).filter(F.col("found") == orders).select("rep")
-    open_ = durable(open_.join(agreed, "rep").select("ord", "list_id", "times", "h1", "n", "rep", "component"))
+    open_ = durable(entries.join(split.select("ord", "list_id"), ["ord", "list_id"]))
     x = open_.select("ord", "list_id", "times", F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("rep").alias("a"), F.col("component").alias("ca"))
     y = open_.select("ord", "list_id", F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("rep").alias("b"), F.col("component").alias("cb"))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    met = x.join(y, ["ord", "list_id"]).filter((F.col("ca") < F.col("cb")) & sizes)
-    met = met.groupBy("a", "ha", "na", "b", "hb", "nb", "ord").agg(F.sum("times").alias("times"))
-    met = met.groupBy("a", "ha", "na", "b", "hb", "nb").agg(F.min("times").alias("least_times"), every)
-    crossed = durable(met.filter(F.col("every") & enough).select("a", "ha", "b", "hb"))
+    crossed = agreed(x.join(y, ["ord", "list_id"]).filter((F.col("ca") < F.col("cb")) & sizes))
     if not crossed.isEmpty():
         more = durable(verify(docs, crossed, k, percent, parts))
-        comp = connected(links.unionByName(more))
+        edges = more.join(at.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
+        joined = connected(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("component", "new")
+        home = home.join(joined, home["component"] == joined["node"], "left").select("rep", "h1", "n", F.coalesce("new", "component").alias("component"))
+    comp = home.select(F.col("rep").alias("node"), "component")
 
     final = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "n", "h1", "h2", "n_copies", F.coalesce("component", "rep").alias("component")
