@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -197,17 +198,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(f"`{url_col}`").cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/:?#]+)", 1), F.lit("")))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"), host.alias("host"))
+    kind = rows.schema["page_id"].dataType.simpleString()
+
+    def press(batches):
+        """Pages travel to their host's template compressed."""
+        for batch in batches:
+            small = [None if x is None else zlib.compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary()), batch.column(3)], names=["page_id", "url", "html", "host"])
+
     found = templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(salts)).cast("int"))
+    packed = rows.mapInArrow(press, f"page_id {kind}, url string, html binary, host string")
+    dealt = packed.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(salts)).cast("int"))
     joined = dealt.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
     def run(batches):
         for batch in batches:
             out = [
-                main_text(page, frozenset(t or ())) if page else ""
+                main_text(zlib.decompress(page).decode("utf-8", "surrogatepass"), frozenset(t or ())) if page else ""
                 for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    kind = rows.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
