@@ -61,13 +61,13 @@ def _unit(counts: np.ndarray) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 300) -> np.ndarray:
     """Weights (the last is the bias) of a squared-hinge linear SVM, by accelerated gradient descent; y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = z = np.zeros(x.shape[1])
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+    w = z = np.zeros(x.shape[1], dtype=x.dtype)
     rate = 1.0 / (l2 + 4.0)
     for t in range(steps):
         gap = np.maximum(0.0, 1.0 - y * (x @ z))
         new = z - rate * (l2 * z - 2.0 * (x.T @ (y * gap)) / len(y))
-        z, w = new + (t / (t + 3.0)) * (new - w), new
+        z, w = (new + (t / (t + 3.0)) * (new - w)).astype(x.dtype), new
     return w
 
 
@@ -105,32 +105,31 @@ class Model:
         return list(lang), score
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """A model from (language, n-gram counts) rows."""
-    langs = sorted({x for x, _ in rows})
+def fit(labels: list[str], counts: np.ndarray) -> Model:
+    """A model from rows of n-gram counts and their languages."""
+    langs = sorted(set(labels))
     if not langs:
         return Model()
+    of = {x: np.array([y == x for y in labels]) for x in langs}
     home = {x: f for f, members in FAMILIES.items() for x in members}
     groups: dict[str, list[str]] = {}
     for x in langs:
         groups.setdefault(home.get(x, f"only {x}"), []).append(x)
     families = [groups[k] for k in sorted(groups)]
-    by = {x: np.stack([c for y, c in rows if y == x]).astype(np.float64) for x in langs}
     log = np.zeros((DIM, len(families)))
     for f, members in enumerate(families):
-        mass = sum((by[x] / np.maximum(by[x].sum(1, keepdims=True), 1)).mean(0) for x in members) / len(members)
+        mass = sum((counts[of[x]] / np.maximum(counts[of[x]].sum(1, keepdims=True), 1)).mean(0) for x in members) / len(members)
         log[:, f] = np.log(mass + 1e-6)
     pairs = {}
     for members in families:
         for i, a in enumerate(members):
             for b in members[i + 1 :]:
-                x = _unit(np.vstack([by[a], by[b]]))
-                y = np.r_[np.ones(len(by[a])), -np.ones(len(by[b]))]
-                pairs[a, b] = linear_svm(x, y)
+                both = of[a] | of[b]
+                pairs[a, b] = linear_svm(_unit(counts[both]), np.where(of[a][both], 1.0, -1.0).astype(np.float32)).astype(np.float64)
     return Model(families, log, pairs)
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> Model:
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200) -> Model:
     """Fit on at most `per_language` rows of each language among the rows where `learn` holds and lang is known.
 
     The rows are the first in the order of a hash of the id, so reruns agree. Only n-gram counts come to the driver
@@ -145,14 +144,13 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def count(batches):
         for batch in batches:
             for first, counts in ngram_counts(batch.column(1)):
-                flat = pa.array(counts.astype(np.float32).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, DIM, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), lists], names=["lang", "counts"])
+                packed = pa.array([x.tobytes() for x in counts.astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), packed], names=["lang", "counts"])
 
     picked = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    found = picked.mapInArrow(count, "lang string, counts array<float>").collect()
-    found.sort(key=lambda r: (r["lang"], r["counts"]))
-    return fit([(r["lang"], np.asarray(r["counts"], dtype=np.float64)) for r in found])
+    found = picked.mapInArrow(count, "lang string, counts binary").toArrow().sort_by([("lang", "ascending"), ("counts", "ascending")])
+    langs = found["lang"].to_pylist()
+    return fit(langs, np.frombuffer(b"".join(found["counts"].to_pylist()), dtype=np.float32).reshape(len(langs), DIM))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
