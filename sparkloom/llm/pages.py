@@ -4,9 +4,9 @@ Tokens are tags and text segments, told apart by their path of open tags. Over t
 occurrence vector (its count on each page, kept as a hash sum, so no page list is gathered); tokens with the same vector
 on enough pages are an equivalence class, and classes of two or more tokens, or of tokens that stand on every page, make
 the host's template. Classes nest by their paths: what stays between template tags are slots, known by the chain of
-template tags that is open there. A page's text is what its content slots hold: those inside the article, else the slot
-chain with the most running text, without template text, menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments.
+template tags that is open there. A page's text is what its content slots hold, whatever tag they are in: those with a
+quarter of the running text of the largest, without template text, menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments.
 """
 
 from __future__ import annotations
@@ -126,30 +126,31 @@ def parse(page: str) -> tuple[list[int], list[Segment]]:
 
 
 def page_tokens(page: str) -> dict[int, int]:
-    """How often each tag and each text segment outside articles occurs on a page."""
+    """How often each tag and each text segment occurs on a page."""
     tags, segments = parse(page)
     count: dict[int, int] = {}
-    for t in [*tags, *(s.token for s in segments if s.token and not s.article)]:
+    for t in [*tags, *(s.token for s in segments if s.token)]:
         count[t] = count.get(t, 0) + 1
     return count
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
-    """The blocks of the page's content slots, in page order."""
+    """The blocks of the page's slots, in page order.
+
+    A page whose text is for the most part in the template is one of many copies; its text is not taken for template.
+    """
     _, segments = parse(page)
     good = [s for s in segments if not s.dropped]
-    level = max((s.article for s in good if s.token), default=0)
-    if level:
-        good = [s for s in good if s.article == level or level == 1 and s.article]
-    else:
-        good = [s for s in good if s.token not in template]
-        # A slot is the chain of template tags that is open; without a template, of all tags but the innermost.
-        slot = lambda s: tuple(t for t in s.chain if t in template) if template else s.chain[:-1]
-        mass: dict[tuple, int] = {}
-        for s in good:
-            mass[slot(s)] = mass.get(slot(s), 0) + (0 if s.link else len(s.text))
-        most = max(mass.values(), default=0)
-        good = [s for s in good if mass[slot(s)] * 4 >= most]
+    own = [s for s in good if s.token not in template]
+    if 2 * sum(len(s.text) for s in own if s.token) >= sum(len(s.text) for s in good if s.token):
+        good = own
+    # A slot is the chain of template tags that is open; without a template, of all tags but the innermost.
+    slot = lambda s: tuple(t for t in s.chain if t in template) if template else s.chain[:-1]
+    mass: dict[tuple, int] = {}
+    for s in good:
+        mass[slot(s)] = mass.get(slot(s), 0) + (0 if s.link else len(s.text))
+    most = max(mass.values(), default=0)
+    good = [s for s in good if mass[slot(s)] * 4 >= most]
     blocks: dict[int, list[str]] = {}
     for s in good:
         blocks.setdefault(s.block, []).append(s.text)
@@ -180,11 +181,11 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5)
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.int64()), pa.array(vector, pa.int64())], names=["host", "token", "vector"])
 
     found = pages.select("host", "page_id", "html").mapInArrow(count, "host string, token long, vector long")
-    tokens = found.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("support"))
+    tokens = found.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("support")).filter(F.col("support") >= least_pages)
     classes = tokens.groupBy("host", "vector", "support").agg(F.count("*").alias("size"))
     sizes = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     enough = (F.col("support") >= least_pages) & (F.col("support") >= F.col("n_pages") * least_share)
-    valid = classes.filter(F.col("support") >= least_pages).join(sizes, "host").filter(enough & ((F.col("size") >= 2) | (F.col("support") == F.col("n_pages"))))
+    valid = classes.join(sizes, "host").filter(enough & ((F.col("size") >= 2) | (F.col("support") == F.col("n_pages"))))
     return tokens.join(valid.select("host", "vector", "support"), ["host", "vector", "support"]).groupBy("host").agg(F.collect_list("token").alias("template"))
 
 
