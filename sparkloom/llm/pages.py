@@ -4,9 +4,9 @@ Tokens are tags and text segments, told apart by their path of open tags. Over t
 occurrence vector (its count on each page, kept as a hash sum, so no page list is gathered); tokens with the same vector
 on enough pages are an equivalence class, and classes of two or more tokens, or of tokens that stand on every page, make
 the host's template. Classes nest by their paths: what stays between template tags are slots, known by the chain of
-template tags that is open there. A page's text is what its content slots hold, whatever tag they are in: those with a
-quarter of the running text of the largest, without template text, menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments.
+template containers that is open there. A page's text is what its slots hold, whatever tag they are in: all of the slot
+with the most running text and of those below it, and every other slot that is not links alone, without template text,
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ BLOCK = frozenset(
     "p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr section article main aside nav header footer blockquote pre "
     "figure figcaption address form fieldset hr body details summary".split()
 )
+#: Blocks that can hold a slot; paragraphs, titles, lists, quotations and tables are blocks of the slot around them.
+CONTAINERS = frozenset("div section article main details".split())
 DROPPED = frozenset(
     "head script style noscript template iframe svg canvas object nav header footer aside form button select textarea menu dialog title audio video map".split()
 )
@@ -50,7 +53,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 @dataclass
 class Segment:
     token: int  # of the text under its path
-    chain: tuple[int, ...]  # tokens of the open block tags
+    chain: tuple[int, ...]  # tokens of the open containers
     block: int
     text: str
     dropped: bool
@@ -78,9 +81,9 @@ def parse(page: str) -> tuple[list[int], list[Segment]]:
             name, path, token, dropped, article, link = stack[-1] if stack else ("", "", 0, False, 0, False)
             text = entities.unescape(piece)
             if text and not text.isspace():
-                out.append(Segment(_hash(path + "\0" + " ".join(text.split())), tuple(x[2] for x in stack if x[0] in BLOCK), block, text, dropped, article, link))
+                out.append(Segment(_hash(path + "\0" + " ".join(text.split())), tuple(x[2] for x in stack if x[0] in CONTAINERS), block, text, dropped, article, link))
             elif out and text:
-                out.append(Segment(0, tuple(x[2] for x in stack if x[0] in BLOCK), block, " ", dropped, article, link))
+                out.append(Segment(0, tuple(x[2] for x in stack if x[0] in CONTAINERS), block, " ", dropped, article, link))
             continue
         if piece[1] in "!?":
             continue
@@ -96,7 +99,7 @@ def parse(page: str) -> tuple[list[int], list[Segment]]:
             block += 1
         elif name == "br":
             if out:
-                out.append(Segment(0, tuple(x[2] for x in stack if x[0] in BLOCK), block, " ", *((stack[-1][3], stack[-1][4], stack[-1][5]) if stack else (False, 0, False))))
+                out.append(Segment(0, tuple(x[2] for x in stack if x[0] in CONTAINERS), block, " ", *((stack[-1][3], stack[-1][4], stack[-1][5]) if stack else (False, 0, False))))
         if name in BLOCK and any(x[0] == "p" for x in stack):
             keep = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"))
             if not any(x[0] in ("td", "th", "button", "object") for x in stack[keep:]):
@@ -139,18 +142,23 @@ def main_text(page: str, template: frozenset[int]) -> str:
 
     A page whose text is for the most part in the template is one of many copies; its text is not taken for template.
     """
-    _, segments = parse(page)
+    tags, segments = parse(page)
     good = [s for s in segments if not s.dropped]
     own = [s for s in good if s.token not in template]
     if 2 * sum(len(s.text) for s in own if s.token) >= sum(len(s.text) for s in good if s.token):
         good = own
-    # A slot is the chain of template tags that is open; without a template, of all tags but the innermost.
-    slot = lambda s: tuple(t for t in s.chain if t in template) if template else s.chain[:-1]
+    # A container that the page repeats is a block of the slot around it.
+    seen = Counter(tags)
+    slot = lambda s: tuple(t for t in s.chain if seen[t] == 1 and (t in template or not template))
     mass: dict[tuple, int] = {}
+    level: dict[tuple, int] = {}
     for s in good:
-        mass[slot(s)] = mass.get(slot(s), 0) + (0 if s.link else len(s.text))
-    most = max(mass.values(), default=0)
-    good = [s for s in good if mass[slot(s)] * 4 >= most]
+        if s.token:
+            mass[slot(s)] = mass.get(slot(s), 0) + (0 if s.link else len(s.text))
+            level[slot(s)] = max(level.get(slot(s), 0), s.article)
+    main = max(mass, key=lambda c: (mass[c], level[c]), default=())
+    if mass.get(main):
+        good = [s for s in good if mass.get(slot(s)) or main and slot(s)[: len(main)] == main]
     blocks: dict[int, list[str]] = {}
     for s in good:
         blocks.setdefault(s.block, []).append(s.text)
