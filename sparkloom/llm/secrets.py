@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in built-in SQL functions only.
 
-A candidate is a run of 16 or more characters of the key alphabets inside a word. Its features are its length, the
+A candidate is any run of 16 or more characters of the key alphabets inside a word. Its features are its length, the
 transitions between character classes, dictionary coverage, path-like shape, the document's path and the words around
 it. A small random forest, fitted on the driver from a bounded set of labelled findings, is written out as SQL
 conditions; scanning is one pass per document with no shuffle and no Python on the executors.
@@ -16,6 +16,10 @@ from sparkloom.llm.quality import let, words_of
 
 LEAST = 16
 MASK = "[SECRET]"
+RUN = r"[A-Za-z0-9+/_~.\-]{16,}={0,2}"
+#: A name of words of one case, with its sign where that is in the run, and what may stand between a name and its value.
+NAME = r"^([A-Z]+|[A-Z]?[a-z]+)([_.\-]([A-Z]+|[A-Z]?[a-z]+|[0-9]{1,2}))+(=?)\x00"
+ASSIGNS = r"(=\x00[\"']?|\x00[\"']?[:=][\"']?)$"
 #: Fragments of ordinary words and identifiers, longest first where one holds another.
 DICTIONARY = (
     "example config string default public static context request response number service function tion ment ness able "
@@ -62,21 +66,36 @@ def features(cand: Column, around: Column, path: Column) -> Column:
 
 
 def candidates(text: Column, path: Column) -> Column:
-    """An array of (word_index, value, f) of every candidate of a text."""
+    """An array of (word_index, value, f) of every candidate of a text: each run of a word, in order.
 
-    def one(words: Column, i: Column) -> Column:
-        word = F.get(words, i)
-        value = F.regexp_extract(word, r"[A-Za-z0-9+/_~.\-]{16,}={0,2}", 0)
-        before = F.concat_ws(" ", F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))))
-        behind = F.coalesce(F.get(words, i + 1), F.lit(""))
+    A name that stands before another run of its word as the name of its value is none.
+    """
+
+    def one(words: Column, i: Column, gaps: Column, values: Column, j: Column) -> Column:
+        # Around the first run stand the words before, around a later one the run before it, each with what lies between.
+        before = F.when(j > 0, F.get(values, j - 1)).otherwise(
+            F.concat(F.concat_ws(" ", F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))), F.lit(" "))
+        )
+        behind = F.when(j + 1 < F.size(values), F.lit("")).otherwise(F.concat(F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit(""))))
         # \x01 stands for the candidate among the words around it.
-        around = lambda v: F.lower(F.concat(before, F.lit(" "), F.replace(word, v, F.lit("\x01")), F.lit(" "), behind))
-        return let(value, lambda v: F.struct(i.cast("long").alias("word_index"), v.alias("value"), features(v, around(v), path).alias("f")))
+        around = F.lower(F.concat(before, F.get(gaps, j), F.lit("\x01"), F.get(gaps, j + 1), behind))
+        both = F.struct(F.get(values, j).alias("v"), around.alias("a"))
+        return let(both, lambda x: F.struct(i.cast("long").alias("word_index"), x["v"].alias("value"), features(x["v"], x["a"], path).alias("f")))
+
+    def names_next(gaps: Column, values: Column, j: Column) -> Column:
+        pair = F.concat(F.get(values, j), F.lit("\x00"), F.get(gaps, j + 1))
+        return (j + 1 < F.size(values)) & pair.rlike(NAME) & pair.rlike(ASSIGNS)
+
+    def each(words: Column, i: Column) -> Column:
+        word = F.get(words, i)
+        both = F.struct(F.split(word, RUN, -1).alias("gaps"), F.regexp_extract_all(word, F.lit(RUN), F.lit(0)).alias("values"))
+        runs = lambda x: F.filter(F.sequence(F.lit(0), F.size(x["values"]) - 1), lambda j: ~names_next(x["gaps"], x["values"], j))
+        return let(both, lambda x: F.transform(runs(x), lambda j: one(words, i, x["gaps"], x["values"], j)))
 
     def found(words: Column) -> Column:
         long = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.length(F.get(words, i)) >= LEAST)
-        runs = F.filter(long, lambda i: F.get(words, i).rlike(r"[A-Za-z0-9+/_~.\-]{16,}"))
-        return F.when(F.size(words) > 0, F.transform(runs, lambda i: one(words, i)))
+        runs = F.filter(long, lambda i: F.get(words, i).rlike(RUN))
+        return F.when(F.size(words) > 0, F.flatten(F.transform(runs, lambda i: each(words, i))))
 
     return let(words_of(text), found)
 
