@@ -25,9 +25,9 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def negatives(positives: DataFrame, left: str, right: str, per_positive: int = 8, seed: int = 42) -> DataFrame:
     """As many pairs as there are positives, none of them a positive, label 0; with the positives, label 1.
 
-    Each left value draws `per_positive` right values from a hashed numbering of them, so pairs are never all listed;
-    the drawn pairs that are no positives are taken in the order of their hash. Fewer are found only if fewer exist
-    among the draws.
+    Each left value draws `per_positive` right values a positive from a hashed numbering of them; while the drawn pairs
+    that are no positives are too few, every left value goes on through the numbering from a place of its own, a block
+    at a time. So pairs are listed only as far as they are needed, and fewer negatives are found only if fewer exist.
     """
     known = positives.select(left, right).distinct()
     n = known.count()
@@ -37,6 +37,16 @@ def negatives(positives: DataFrame, left: str, right: str, per_positive: int = 8
     at = bucket(F.concat_ws("/", F.col(left).cast("string"), F.col(right).cast("string"), F.col("draw").cast("string"), F.lit(str(seed))), max(m, 1))
     drawn = draws.select(left, at.alias("no")).distinct().join(rights, "no").select(left, right)
     free = drawn.join(known, [left, right], "left_anti")
+    lefts = known.select(left).distinct()
+    n_left = lefts.count()
+    due, first, block = min(n, n_left * m - n), 0, per_positive
+    while first < m and (have := free.count()) < due:
+        block = max(block * 2, -(-(due - have) // n_left))
+        place = F.explode(F.sequence(F.lit(first), F.lit(min(first + block, m) - 1)))
+        start = bucket(F.concat_ws("/", F.col(left).cast("string"), F.lit(str(seed))), m)
+        more = lefts.select(left, place.alias("place")).select(left, ((F.col("place") + start) % m).alias("no")).join(rights, "no").select(left, right)
+        free = free.unionByName(more.join(known, [left, right], "left_anti")).distinct()
+        first += block
     order = F.md5(F.concat_ws("/", F.col(left).cast("string"), F.col(right).cast("string"), F.lit(str(seed))))
     taken = free.orderBy(order, left, right).limit(n)
     return known.withColumn("label", F.lit(1)).unionByName(taken.withColumn("label", F.lit(0)))
