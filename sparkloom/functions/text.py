@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 # What stands in for "Answer:" when reasoning is asked for.
 STEPS = 'Please think step by step and then put ONLY your final choice ((A) or (B)) after "Answer:"'
+EXAMPLES = "Here are some structured reasoning examples for your reference: {}.\n Please follow the structured reasoning examples to think step by step and then put ONLY your final choice ((A) or (B)) after \"Answer:\""
 STEPS_SHORT = 'Please think step by step and then put your final choice after "Answer:"'
 
 
@@ -47,8 +48,7 @@ def ask_for_steps(prompt: Column, words: str = STEPS) -> Column:
 def ask_with_examples(prompt: Column, examples: list[str]) -> Column:
     """Few-shot form of `ask_for_steps`."""
     shown = "\n".join(f"\nexample{i}:\n{x}" for i, x in enumerate(examples, 1))
-    lead = f"Here are some structured reasoning examples for your reference: {shown}.\n Please follow the structured reasoning examples to "
-    return put(prompt, "Answer:", lead + STEPS.removeprefix("Please "))
+    return put(prompt, "Answer:", EXAMPLES.format(shown))
 
 
 def choice(label: Column) -> Column:
@@ -90,15 +90,52 @@ def clip(text: Column, n: int, always: bool = False) -> Column:
     return short if always else F.when(F.length(text) > n, short).otherwise(text)
 
 
+def quoted(value: Column) -> Column:
+    """A string as a literal: in single quotes, or in double ones if it holds only single ones."""
+    plain = value
+    for mark, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(mark), F.lit(shown))
+    return F.when(F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"')), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    )
+
+
+def literal_text(json: Column) -> Column:
+    """A JSON value as a literal: None, True, False, quoted strings, and blanks behind the commas and colons of lists and objects."""
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\\\]|\\\\.)*"|[-+.0-9eE]+|[a-z]+|[\[\]{},:]'), F.lit(0))
+    # How constants and separators of JSON are shown.
+    named = {"null": "None", "true": "True", "false": "False", ",": ", ", ":": ": "}
+
+    def shown(t: Column) -> Column:
+        out = F.when(t.startswith('"'), quoted(F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), 0)))
+        for name, value in named.items():
+            out = out.when(t == name, F.lit(value))
+        return out.otherwise(t)
+
+    return F.array_join(F.transform(tokens, shown), "")
+
+
+def fields(json: Column) -> Column:
+    """(key, value) of the fields of a JSON object in their order, values as text: strings as they are, all else as literals."""
+    entries = F.map_entries(F.from_json(json, "map<string,variant>"))
+    value = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(literal_text(F.to_json(v)))
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.coalesce(value(e["value"]), F.lit("None")).alias("value")))
+
+
+def field(json: Column, name: str) -> Column:
+    """The value of one field as text, null if there is none."""
+    return F.get(F.filter(fields(json), lambda e: e["key"] == name), 0)["value"]
+
+
 def ordered_fields(json: Column) -> Column:
-    """The fields of a JSON object as key:\\nvalue, joined by line feeds in their order; null if it isn't an object."""
-    entries = F.map_entries(F.from_json(json, "map<string,string>"))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":\n"), e["value"])), "\n")
+    """The fields of a JSON object as key:\nvalue, joined by line feeds in their order; null if it isn't an object."""
+    return F.array_join(F.transform(fields(json), lambda e: F.concat(e["key"], F.lit(":\n"), e["value"])), "\n")
 
 
 def pair(literal: Column) -> Column:
-    """The quoted items of a list written as text."""
-    return F.regexp_extract_all(literal, F.lit(r"'([^']*)'"), F.lit(1))
+    """The strings of a list written as text, in single or double quotes, with escaped characters."""
+    items = F.regexp_extract_all(literal, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""), F.lit(0))
+    return F.transform(items, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
 
 
 def scale_1000(y: Column, low: Column, high: Column) -> Column:

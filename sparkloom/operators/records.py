@@ -42,7 +42,7 @@ def cot_answer(file: Column, struct_cot: Column, meta: Column) -> Column:
     cot = text.ordered_fields(struct_cot)
     out = None
     for name, (title, field) in COT_ANSWERS.items():
-        value = F.get_json_object(struct_cot if field == "output" else meta, f"$.{field}")
+        value = text.field(struct_cot if field == "output" else meta, field)
         shown = F.concat(F.lit("Answer: "), value) if not title else F.concat(F.lit(f"Answer: \n{{\n    ‘{title}’: "), value, F.lit(",\n}"))
         out = (F if out is None else out).when(file == name, text.think(cot, shown))
     return F.when(cot.isNotNull(), out.otherwise(F.raise_error(F.concat(F.lit("unknown file "), file)).cast("string")))

@@ -36,6 +36,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_TEMPLATE = "Context: x. Question: {Drug SMILES} is? (A) no (B) yes Answer:"
+
+
 def _responses(spark, sf):
     return synth.responses(table(spark, sf, "labels"), table(spark, sf, "documents"))
 
@@ -251,23 +254,31 @@ def argmax_prediction(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", arrays.argmax(F.col("embedding")).alias("best"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS tok, unnest(range(len(w))) AS pos FROM t)
-SELECT x.doc_id, x.pos, e.vec_id, e.label FROM x JOIN embeddings e ON e.vec_id = length(x.tok) WHERE x.tok = 'the'""")
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS tok FROM documents), c AS (SELECT tok, count(*) AS n FROM t GROUP BY tok),
+i AS (SELECT tok, n, ('0x' || substr(md5(tok), 1, 7))::BIGINT % 32000 % (SELECT count(*) FROM embeddings) AS vec_id FROM c)
+SELECT tok, n, vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS norm FROM i JOIN embeddings USING (vec_id)""")
 def token_embeddings(spark, sf):
-    tokens = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("pos", "tok"))
-    rows = tokens.filter("tok = 'the'").withColumn("vec_id", F.length("tok").cast("long"))
-    return rows.join(table(spark, sf, "embeddings"), "vec_id").select("doc_id", F.col("pos").cast("long").alias("pos"), "vec_id", "label")
+    e = table(spark, sf, "embeddings")
+    tokens = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+    at = F.get(arrays.token_ids(F.array("tok")), 0) % e.count()
+    return tokens.withColumn("vec_id", at.cast("long")).join(e, "vec_id").select("tok", "n", "vec_id", F.round(arrays.norm(F.col("embedding")), 9).alias("norm"))
+
+
+@query("""SELECT d.doc_id, replace('Context: x. Question: {Drug SMILES} is? (A) no (B) yes Answer:', 'Answer:', 'Here are some structured reasoning examples for your reference: ' || chr(10) || 'example1:' || chr(10) || 'one' || chr(10) || chr(10) ||
+  'example2:' || chr(10) || 'two' || '.' || chr(10) || ' Please follow the structured reasoning examples to think step by step and then put ONLY your final choice ((A) or (B)) after "Answer:"') || d.source AS prompt FROM documents d""")
+def few_shot_prompts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.concat(text.ask_with_examples(F.lit(_TEMPLATE), ["one", "two"]), F.col("source")).alias("prompt"))
 
 
 # --- robustness ------------------------------------------------------------------------------------------------------
 
-_VARIANTS = """v AS (SELECT user_id AS parent_id, (user_id % 2)::INT AS label, round(1 / (1 + exp(-(value / 50.0::DOUBLE - 1))), 9) AS p_b FROM events WHERE event_id % 7 <> 0),
+_VARIANTS = """v AS (SELECT user_id AS parent_id, (user_id % 2)::INT AS label, round(1 / (1 + exp(-(value / 50.0::DOUBLE - 1))), 9) AS p_b FROM events),
 r AS (SELECT parent_id, label, count(*) AS n_variants, min(p_b) AS p_min, max(p_b) AS p_max, max(p_b) - min(p_b) AS p_range,
   CASE WHEN label = 1 THEN max(p_b) ELSE min(p_b) END AS best, CASE WHEN label = 1 THEN min(p_b) ELSE max(p_b) END AS worst FROM v GROUP BY parent_id, label)"""
 
 
 def _variants(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 7 <> 0")
+    e = table(spark, sf, "events")
     return e.select(F.col("user_id").alias("parent_id"), (F.col("user_id") % 2).cast("int").alias("label"), F.round(arrays.sigmoid(F.col("value") / 50.0 - 1), 9).alias("p_b"))
 
 
@@ -336,13 +347,12 @@ def render_gpt_record(spark, sf):
     return _chats(spark, sf).select("conv_id", source.alias("input"), target.alias("output"))
 
 
-_PROMPT = "replace('Context: x. Question: {Drug SMILES} is? (A) no (B) yes Answer:', '{Drug SMILES}', '<SMILES>' || substr(d.text, 1, 20) || '</SMILES>')"
-_TEMPLATE = "Context: x. Question: {Drug SMILES} is? (A) no (B) yes Answer:"
+_PROMPT = "replace('Context: x. Question: {Drug SMILES} is? (A) no (B) yes Answer:', '{Drug SMILES}', '<SMILES>' || d.text || '</SMILES>')"
 
 
 def _prompts(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return d.withColumn("prompt", text.fill(F.lit(_TEMPLATE), {"{Drug SMILES}": (F.substring("text", 1, 20), "SMILES")}))
+    return d.withColumn("prompt", text.fill(F.lit(_TEMPLATE), {"{Drug SMILES}": (F.col("text"), "SMILES")}))
 
 
 @query(f"SELECT d.doc_id, {_PROMPT} AS instruction, '' AS input, CASE l.toxic WHEN 1 THEN '(B)' WHEN 0 THEN '(A)' END AS output FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
@@ -387,10 +397,9 @@ def regression_templates(spark, sf):
     return t.filter(keep).select("prompt_key")
 
 
-@query("SELECT doc_id, trim(split_part(text, chr(10), 1) || CASE WHEN length(split_part(text, chr(10), 2)) > 0 THEN chr(10) || split_part(text, chr(10), 2) ELSE '' END, ' ' || chr(10) || chr(9) || chr(13)) AS user_text FROM documents")
+@query("SELECT doc_id, trim(text || CASE WHEN length(source) > 0 THEN chr(10) || source ELSE '' END, ' ' || chr(10) || chr(9) || chr(13)) AS user_text FROM documents")
 def user_texts(spark, sf):
-    lines = lambda i: F.split_part("text", F.lit("\n"), F.lit(i))
-    return table(spark, sf, "documents").select("doc_id", text.user_text(lines(1), lines(2)).alias("user_text"))
+    return table(spark, sf, "documents").select("doc_id", text.user_text(F.col("text"), F.col("source")).alias("user_text"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS cut, substr(text, 1, 80) || '...' AS always FROM documents")
@@ -425,17 +434,26 @@ def json_path(spark, sf):
     return table(spark, sf, "events").filter(k.isNotNull()).select("event_id", k.alias("k"), F.concat(F.lit("Answer: "), k).alias("answer"))
 
 
-@query("""SELECT doc_id, '<think>' || chr(10) || 'lang:' || chr(10) || lang || chr(10) || 'source:' || chr(10) || source || chr(10) || '</think>' || chr(10) ||
-  CASE doc_id % 3 WHEN 0 THEN 'Answer: ' || n_chars WHEN 1 THEN 'Answer: ' || chr(10) || '{' || chr(10) || '    ‘count’: ' || n_chars || ',' || chr(10) || '}'
-  ELSE 'Answer: ' || chr(10) || '{' || chr(10) || '    ‘Final Target Molecule’: ' || n_chars || ',' || chr(10) || '}' END AS output
-FROM documents WHERE doc_id % 5 <> 0""")
+def _cot_sql() -> str:
+    """The answer of each file's form, by the number of the file."""
+    shown = lambda title, value: f"'Answer: ' || {value}" if not title else f"'Answer: ' || chr(10) || '{{' || chr(10) || '    ‘{title}’: ' || {value} || ',' || chr(10) || '}}'"
+    value = {"reference": "n_chars", "gt": "'[' || n_chars || ', ''' || lang || ''']'", "output": "'it''s ' || lang"}
+    return " ".join(f"WHEN {i} THEN {shown(title, value[field])}" for i, (title, field) in enumerate(records.COT_ANSWERS.values()))
+
+
+@query(f"""SELECT doc_id, '<think>' || chr(10) || 'lang:' || chr(10) || lang || chr(10) || 'output:' || chr(10) || 'it''s ' || lang || chr(10) || 'n:' || chr(10) || n_chars || chr(10) ||
+  'even:' || chr(10) || CASE WHEN n_chars % 2 = 0 THEN 'True' ELSE 'False' END || chr(10) || 'none:' || chr(10) || 'None' || chr(10) ||
+  'list:' || chr(10) || '[' || n_chars || ', \"it''s\", None, {{''source'': ''' || source || '''}}, 0.5]' || chr(10) || '</think>' || chr(10) ||
+  CASE doc_id % {len(records.COT_ANSWERS)} {_cot_sql()} END AS output FROM documents""")
 def cot_records(spark, sf):
     d = table(spark, sf, "documents")
-    file = F.when(F.col("doc_id") % 3 == 0, "add.json").when(F.col("doc_id") % 3 == 1, "fg_count.json").otherwise("qed.json")
-    cot = F.when(F.col("doc_id") % 5 == 0, "not json").otherwise(F.to_json(F.struct("lang", "source")))
-    meta = F.to_json(F.struct(F.col("n_chars").cast("string").alias("reference"), F.col("n_chars").cast("string").alias("gt")))
-    out = d.select("doc_id", file.alias("file"), cot.alias("cot"), meta.alias("meta"))
-    return out.select("doc_id", records.cot_answer(F.col("file"), F.col("cot"), F.col("meta")).alias("output")).filter("output is not null")
+    file = F.element_at(F.array(*[F.lit(f) for f in records.COT_ANSWERS]), (F.col("doc_id") % len(records.COT_ANSWERS) + 1).cast("int"))
+    n, lang, source = F.col("n_chars").cast("string"), F.col("lang"), F.col("source")
+    join = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    even = F.when(F.col("n_chars") % 2 == 0, "true").otherwise("false")
+    cot = join('{"lang":"', lang, '","output":"it\'s ', lang, '","n":', n, ',"even":', even, ',"none":null,"list":[', n, ',"it\'s",null,{"source":"', source, '"},0.5]}')
+    meta = join('{"reference":"', n, '","gt":[', n, ',"', lang, '"]}')
+    return d.select("doc_id", records.cot_answer(file, cot, meta).alias("output"))
 
 
 @query("SELECT doc_id, 'AB' || lang AS heavy, source AS light FROM documents")
@@ -487,15 +505,15 @@ def split_counts(spark, sf):
     return wanted.join(counts, "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("""WITH pos AS (SELECT DISTINCT c_nationkey AS l, o_custkey % 50 AS r FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 40 = 0),
+@query("""WITH pos AS (SELECT DISTINCT c_nationkey AS l, o_custkey AS r FROM orders JOIN customer ON c_custkey = o_custkey ),
 rights AS (SELECT r, row_number() OVER (ORDER BY md5(r::VARCHAR || '/42'), r) - 1 AS no FROM (SELECT DISTINCT r FROM pos)), m AS (SELECT greatest(count(*), 1) AS m FROM rights),
 drawn AS (SELECT DISTINCT l, ('0x' || substr(md5(l || '/' || r || '/' || draw || '/42'), 1, 8))::BIGINT % m AS no FROM pos, m, (SELECT unnest(range(1, 9)) AS draw) d),
 free AS (SELECT d.l, x.r FROM drawn d JOIN rights x ON x.no = d.no ANTI JOIN pos p ON p.l = d.l AND p.r = x.r),
 neg AS (SELECT l, r, 0 AS label FROM free ORDER BY md5(l || '/' || r || '/42'), l, r LIMIT (SELECT count(*) FROM pos))
 SELECT l, r, 1 AS label FROM pos UNION ALL SELECT * FROM neg""")
 def pair_neg_sample(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 40 = 0").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return sampling.negatives(o.select(F.col("c_nationkey").alias("l"), (F.col("o_custkey") % 50).alias("r")).distinct(), "l", "r")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return sampling.negatives(o.select(F.col("c_nationkey").alias("l"), F.col("o_custkey").alias("r")).distinct(), "l", "r")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(doc_id || '/42'), doc_id LIMIT 50")
@@ -571,14 +589,14 @@ _IDS = "list_transform(regexp_extract_all({x}, " + _TOK + "), lambda t: (('0x' |
 _REC = f"""p AS (SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next, role, text FROM conversations),
 rec AS (SELECT conv_id, turn, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS instruction, reply AS output FROM p WHERE role = 'user' AND next = 'assistant'),
 ids AS (SELECT conv_id, turn, {_IDS.format(x="'<|im_start|>user' || chr(10) || instruction || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)")} AS a, {_IDS.format(x="output || '<|im_end|>' || chr(10)")} AS b FROM rec),
-tok AS (SELECT conv_id, turn, (a || b || [2])[1:256] AS input_ids, (list_transform(a, lambda x: -100) || b || [2])[1:256] AS labels FROM ids)"""
+tok AS (SELECT conv_id, turn, (a || b || [2])[1:2048] AS input_ids, (list_transform(a, lambda x: -100) || b || [2])[1:2048] AS labels FROM ids)"""
 
 
 def _tokens(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf, "conversations").withColumn("output", F.lead("text").over(w)).withColumn("next", F.lead("role").over(w))
     rows = c.filter("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("instruction"), F.lit("").alias("input"), "output")
-    return records.tokens_and_labels(rows, eos=2, most=256).select("conv_id", "turn", "input_ids", "labels")
+    return records.tokens_and_labels(rows, eos=2, most=2048).select("conv_id", "turn", "input_ids", "labels")
 
 
 _JOIN = "array_to_string({0}, ' ') AS {0}"
