@@ -5,12 +5,13 @@
 2. In each of several global token orders (rare levels first, then a different permutation per order) a set of n
    shingles puts its first n - ceil(t * n) + 1 into an index. Two sets with similarity t or more share an index token
    in every order. Index tokens travel as packed arrays, not as rows.
-3. Lists of classes that share a token link each class to the smallest one in the list. Links found under every order
-   are verified exactly; what they connect is contracted.
-4. Lists whose classes lie in several components are tested against another of their classes, round by round, as long
-   as that finds links.
-5. Every pair of classes that is still in different components, passes the length filter and shares prefix tokens in
-   every order is verified as well, so no component misses a link, while pairs inside a component are never listed.
+3. All classes of a list of sharers are held against the one that shares most; links are verified exactly and what they
+   connect is contracted. Lists whose classes lie in several components go on against others of their classes, as long
+   as that finds links. A class whose open lists hold fewer tokens than any partner asks for drops out.
+4. For what is left, prefix filtering is applied once more, to the lists themselves: a class needs only those of its
+   lists, from the smallest on, behind which fewer tokens are left than a partner must share. Pairs of different
+   components that meet there and share enough tokens in every order are verified, so no component misses a link, while
+   pairs inside a component are never listed.
 
 Verified means: whole texts side by side, 100 * intersection >= 100 * t * union on their shingle sets.
 """
@@ -19,11 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm._text import mix, texts_to_shingles
-from sparkloom.llm.components import connected, durable
+from sparkloom.llm.components import connected, durable, tidy
 
 _U = np.uint64
 _FLUSH = 2_000_000
@@ -116,13 +118,14 @@ def frequent_shingles(docs: DataFrame, k: int, n_buckets: int, parts: int, least
     packed = docs.select("text").mapInArrow(pack, "bucket long, tokens binary")
     grouped = packed.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("tokens").alias("tokens"))
     counts = durable(grouped.mapInArrow(count, "key long, df long"))
-    # The smallest count whose shingles fit the bound, from a histogram of at most 4,096 rows.
-    left, floor = MAX_FREQUENT, 4097
-    for r in counts.groupBy(F.least("df", F.lit(4096)).alias("df")).agg(F.count("*").alias("m")).orderBy(F.desc("df")).collect():
+    # Counts fall into at most 512 classes, eight a power of two; whole classes are taken from the top while they fit.
+    step = F.floor(F.log2(F.col("df").cast("double")) * 8).cast("int")
+    left, floor = MAX_FREQUENT, 1 << 20
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("m")).orderBy(F.desc("step")).collect():
         if r["m"] > left:
             break
-        left, floor = left - r["m"], r["df"]
-    top = counts.filter(F.col("df") >= floor).toArrow()
+        left, floor = left - r["m"], r["step"]
+    top = counts.filter(step >= floor).toArrow()
     keys = top["key"].to_numpy().view(np.uint64)
     by = np.argsort(keys)
     return keys[by].copy(), np.minimum(top["df"].to_numpy()[by], 2**31 - 1).astype(np.int32)
@@ -252,22 +255,22 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, chunk: int = 512) -> DataFrame:
-    """The pairs (a, b) of (a, ha, b, hb) whose texts have the similarity; ids with the digest of the wanted text.
+    """The pairs (ha, hb) of (a, ha, b, hb) whose texts have the similarity; a and b are ids of rows with these digests.
 
-    Each b goes to the group of its a, in chunks of about `chunk` texts, so no group outgrows a task.
+    Each hb goes to the group of its ha, in chunks of about `chunk` texts, so no group outgrows a task.
     """
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    dealt = pairs.join(sizes, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / chunk).cast("long")))
-    want = dealt.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("doc_id"), F.col("hb").alias("h")).unionByName(
-        dealt.select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("doc_id"), F.col("ha").alias("h")).distinct()
+    sizes = pairs.groupBy("ha").agg(F.count("*").alias("m"))
+    dealt = pairs.join(sizes, "ha").withColumn("chunk", F.pmod(F.xxhash64("hb"), F.ceil(F.col("m") / chunk).cast("long")))
+    want = dealt.select("ha", "chunk", F.lit(1).alias("role"), F.col("b").alias("doc_id"), F.col("hb").alias("h")).unionByName(
+        dealt.select("ha", "chunk", F.lit(0).alias("role"), F.col("a").alias("doc_id"), F.col("ha").alias("h")).distinct()
     )
 
     def run(batches):
         key, base = None, None
         for batch in batches:
-            a, chunk_no, role, doc_id, want_h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            ha, chunk_no, role, want_h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             out_a, out_b = [], []
-            for first, rows, r, h in texts_to_shingles(batch.column(5), k):
+            for first, rows, r, h in texts_to_shingles(batch.column(4), k):
                 n, h1, _ = _digest(r, h, rows)
                 head = np.cumsum(n) - n
                 for i in range(rows):
@@ -276,15 +279,15 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int,
                         continue  # a repeated id with another text
                     mine = h[head[i] : head[i] + n[i]]
                     if role[j] == 0:
-                        key, base = (a[j], chunk_no[j]), mine.copy()
-                    elif key == (a[j], chunk_no[j]):
+                        key, base = (ha[j], chunk_no[j]), mine.copy()
+                    elif key == (ha[j], chunk_no[j]):
                         pos = np.minimum(np.searchsorted(base, mine), len(base) - 1)
                         both = int((base[pos] == mine).sum())
                         if 100 * both >= percent * (len(base) + len(mine) - both):
-                            out_a.append(a[j])
-                            out_b.append(doc_id[j])
+                            out_a.append(ha[j])
+                            out_b.append(want_h[j])
             if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["ha", "hb"])
 
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
     # Few wanted texts are looked up in the scan; more are joined by id.
@@ -293,13 +296,127 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int,
         texts = texts.join(F.broadcast(want.select("doc_id").distinct()), "doc_id", "left_semi")
     return (
         want.join(texts, "doc_id")
-        .select("a", "chunk", "role", "doc_id", "h", "text")
-        .repartition(parts, "a", "chunk")
-        .sortWithinPartitions("a", "chunk", "role")
-        .mapInArrow(run, "a long, b long")
+        .select("ha", "chunk", "role", "h", "text")
+        .repartition(parts, "ha", "chunk")
+        .sortWithinPartitions("ha", "chunk", "role")
+        .mapInArrow(run, "ha long, hb long")
     )
 
 
+def _behind(n: str, percent: int) -> str:
+    """How many shingles of a set of n stand behind its prefix."""
+    return f"(({n} * {percent} + 99) div 100 - 1)"
+
+
+def _least(x: str, y: str, percent: int) -> str:
+    """How many prefix tokens two sets of x and y shingles must share: the rest is at most what either has behind its prefix."""
+    return f"((({x} + {y}) * {percent} + {99 + percent}) div {100 + percent} - greatest({_behind(x, percent)}, {_behind(y, percent)}))"
+
+
+def _open_entries(members: DataFrame, home: DataFrame, percent: int, orders: int) -> DataFrame:
+    """The entries of lists with several components, of classes that could still have a partner there.
+
+    A class needs, in every order, as many tokens in such lists as the least demanding size of a partner asks for. `share`
+    is the part of its shingles that lists hold, `least` that demand, `m` the size of the list.
+    """
+    entries = members.join(home.select("h1", "component"), "h1")
+    of_list = entries.groupBy("ord", "list_id").agg(
+        F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c1"), F.max("component").alias("c2")
+    ).filter("c1 < c2").drop("c1", "c2")
+    sized = entries.join(of_list, ["ord", "list_id"]).withColumns(
+        {"lo": F.expr(f"greatest(lo, (n * {percent} + 99) div 100)"), "hi": F.expr(f"least(hi, n * 100 div {percent})")}
+    ).filter("lo <= hi")
+    # The demand falls with the distance of the sizes, so its least value is at an end of the range.
+    sized = sized.withColumn("least", F.greatest(F.lit(1), F.least(F.expr(_least("n", "lo", percent)), F.expr(_least("n", "hi", percent)))))
+    by_order = sized.groupBy("h1", "ord").agg(F.sum("times").alias("s"), F.min("least").alias("r"), F.first("n").alias("n"))
+    fit = by_order.filter("s >= r").groupBy("h1").agg(F.count("*").alias("found"), (F.sum("s") / F.first("n")).alias("share")).filter(F.col("found") == orders)
+    return durable(sized.drop("lo", "hi").join(fit.select("h1", "share"), "h1"))
+
+
+def _meeting(open_: DataFrame) -> DataFrame:
+    """(list_id, h1, n, component): the entries of the first order through which partners must meet.
+
+    Each class goes through its lists from the smallest to the largest. Two classes that share as many tokens as they
+    must meet before what is left of their lists holds fewer than that, so the largest lists drop out.
+    """
+    order = Window.partitionBy("h1").orderBy("m", "list_id")
+    first = open_.filter("ord = 0").select(
+        "list_id", "h1", "n", "component", (F.sum("times").over(order) - F.col("times")).alias("before"),
+        F.sum("times").over(Window.partitionBy("h1")).alias("s"), F.min("least").over(Window.partitionBy("h1")).alias("r"),
+    )
+    return first.filter("before <= s - r").select("list_id", "h1", "n", "component")
+
+
+def _candidates(meeting: DataFrame, percent: int) -> DataFrame:
+    """(ha, hb) once: every pair of different components that meets and has sizes near enough."""
+    x, y = (meeting.select("list_id", *[F.col(c).alias(f"{side}_{c}") for c in ("h1", "n", "component")]) for side in ("a", "b"))
+    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    return x.join(y, "list_id").filter((F.col("a_component") < F.col("b_component")) & sizes).select(F.col("a_h1").alias("ha"), F.col("b_h1").alias("hb")).distinct()
+
+
+def _agreed(pairs: DataFrame, open_: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(a, ha, b, hb) of the pairs (ha, hb) that share enough prefix tokens in every order, counted from packed lists."""
+    entry = F.struct("ord", "list_id", "times")
+    packed = open_.groupBy("h1").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_list(entry).alias("lists"))
+    side = lambda s: packed.select(F.col("h1").alias(f"h{s}"), F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("lists").alias(f"lists_{s}"))
+    met = pairs.join(side("a"), "ha").join(side("b"), "hb")
+
+    def run(batches):
+        for batch in batches:
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            n = {s: cols[f"n{s}"].to_numpy() for s in "ab"}
+            flat = {}
+            for s in "ab":
+                x = cols[f"lists_{s}"]
+                e = x.flatten()
+                flat[s] = np.r_[0, np.cumsum(pc.list_value_length(x).to_numpy())], e.field(0).to_numpy(), e.field(1).to_numpy(), e.field(2).to_numpy()
+            behind = np.maximum(*((n[s] * percent + 99) // 100 - 1 for s in "ab"))
+            least = ((n["a"] + n["b"]) * percent + 99 + percent) // (100 + percent) - behind
+            keep = []
+            for i in range(batch.num_rows):
+                (oa, la, ta), (ob, lb, _) = ([f[x[0][i] : x[0][i + 1]] for f in x[1:]] for x in (flat["a"], flat["b"]))
+                keep.append(all(int(ta[oa == o][np.isin(la[oa == o], lb[ob == o])].sum()) >= least[i] for o in range(orders)))
+            yield pa.RecordBatch.from_arrays([cols[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "ha", "b", "hb")], names=["a", "ha", "b", "hb"])
+
+    return met.mapInArrow(run, "a long, ha long, b long, hb long")
+
+
+def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent: int, orders: int, parts: int, max_rounds: int) -> DataFrame:
+    """(h1, rep, n, component) of every class (h1, rep, n); a component is known by the least h1 in it."""
+    home = reps.withColumn("component", F.col("h1"))
+    members = lists.select("ord", "list_id", "times", "h1").join(reps, "h1")
+
+    def contract(home: DataFrame, links: DataFrame) -> DataFrame:
+        at = lambda s: home.select(F.col("h1").alias(f"h{s}"), F.col("component").alias(s))
+        joined = connected(links.join(at("a"), "ha").join(at("b"), "hb").select("a", "b")).withColumnRenamed("component", "new")
+        return durable(home.join(joined, home["component"] == joined["node"], "left").select("h1", "rep", "n", F.coalesce("new", "component").alias("component")))
+
+    # All classes of a list are held against one of them, first the one that shares most of its shingles, then others.
+    # Lists of one component need no more tests. When few enough meet in lists, all pairs that meet are tested.
+    enough = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("least_times") >= F.expr(_least("na", "nb", percent)))
+    for turn in range(max_rounds + 1):
+        open_ = _open_entries(members, home, percent, orders)
+        meeting = _meeting(open_)
+        sizes = meeting.groupBy("list_id").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum("m")).first()
+        if not sizes[0] or turn == max_rounds or turn and sizes[0] <= 4 * sizes[1]:
+            break
+        rank = F.struct((-F.round(F.col("share") * 8) if turn else -F.col("share")).alias("s"), F.xxhash64("h1", F.lit(turn)).alias("u"))
+        one = open_.groupBy("ord", "list_id").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("component").alias("ca")), rank).alias("one"))
+        x = open_.select("ord", "list_id", "times", F.col("rep").alias("b"), F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        met = x.join(one.select("ord", "list_id", "one.*"), ["ord", "list_id"]).filter("ca <> cb")
+        met = met.groupBy("a", "ha", "na", "b", "hb", "nb", "ord").agg(F.sum("times").alias("times"))
+        met = met.groupBy("a", "ha", "na", "b", "hb", "nb").agg(F.min("times").alias("least_times"), F.count("*").alias("agree"))
+        pairs = durable(met.filter((F.col("agree") == orders) & enough).select("a", "ha", "b", "hb"))
+        home = contract(home, verify(docs, pairs, k, percent, parts))
+        members = open_.select("ord", "list_id", "times", "h1", "n", "rep")
+
+    # What is left: every pair of different components that every order lists.
+    if sizes[0]:
+        crossed = durable(_agreed(_candidates(meeting, percent), open_, percent, orders))
+        home = contract(home, verify(docs, crossed, k, percent, parts))
+    return home
+
+
 def ngram_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -307,14 +424,15 @@ def ngram_components(
     k: int = 5,
     percent: int = 80,
     orders: int = 2,
-    max_rounds: int = 12,
+    max_rounds: int = 6,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable by links) and n_copies.
 
     n_copies counts the rows with the same shingle set. A text without words has no shingles and is linked with
     nothing; one of fewer than k words is one shingle. A row with a null id keeps its counts and gets its class's
-    component, null if it is alone there. Repeated rows stay, each with the same answer. Only the id and the text are
-    read, so other columns can't clash. Ids are whole numbers.
+    component, null if it is alone there. Repeated rows stay: rows of one id and text have one answer, rows of one id
+    with several texts are told apart by them. Only the id and the text are read, so other columns can't clash. Ids are
+    whole numbers. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -326,89 +444,15 @@ def ngram_components(
     total = classes.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(parts, int(total * (100 - percent) / 100 / 400_000) + 1) * 2
     frequent = frequent_shingles(docs, k, n_buckets, parts)
+    tidy(spark)
     lists = durable(prefix_lists(docs, frequent, k, percent, orders, n_buckets, parts))
+    tidy(spark)
 
-    # Two sets with c common prefix tokens in an order share at most c more than either has behind its prefix.
-    behind = lambda n: F.ceil(n * percent / 100.0) - 1
-    need = lambda x, y: F.ceil((x + y) * (percent / (100.0 + percent)) - 1e-9)
-    enough = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (
-        F.col("least_times") + F.greatest(behind(F.col("na")), behind(F.col("nb"))) >= need(F.col("na"), F.col("nb"))
-    )
-    every = (F.count("*") == orders).alias("every")
-
-    # First the links to the smallest class of a list that every order agrees on.
-    reps = classes.filter("rep is not null").select("h1", "n", "rep")
-    hubs = lists.filter("h1 <> hub").groupBy("h1", "hub", "ord").agg(F.sum("times").alias("times"))
-    hubs = hubs.groupBy("h1", "hub").agg(F.min("times").alias("least_times"), every).filter("every")
-    a = reps.select(F.col("h1").alias("hub"), F.col("n").alias("na"), F.col("rep").alias("ra"))
-    b = reps.select("h1", F.col("n").alias("nb"), F.col("rep").alias("rb"))
-    star = hubs.join(a, "hub").join(b, "h1").filter(enough & (F.col("ra") != F.col("rb"))).select(
-        F.col("ra").alias("a"), F.col("hub").alias("ha"), F.col("rb").alias("b"), F.col("h1").alias("hb")
-    ).distinct()
-    links = durable(verify(docs, durable(star), k, percent, parts))
-    comp = connected(links)
-
-    # Lists of one component need no more tests. While a list's classes keep finding each other, all of them are held
-    # against one of them again, another one each round; every round's work is in proportion to its entries.
-    home = durable(
-        reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    )
-    members = lists.select("ord", "list_id", "times", "h1").join(reps, "h1")
-    sums = ["a", "ha", "na", "b", "hb", "nb"]
-
-    def agreed(met: DataFrame) -> DataFrame:
-        """The pairs that every order lists and whose common prefix tokens are enough in each."""
-        met = met.groupBy(*sums, "ord").agg(F.sum("times").alias("times")).groupBy(*sums).agg(F.min("times").alias("least_times"), every)
-        return durable(met.filter(F.col("every") & enough).select("a", "ha", "b", "hb"))
-
-    for turn in range(max_rounds + 1):
-        entries = members.join(home.select("rep", "component"), "rep")
-        split = entries.groupBy("ord", "list_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        open_ = entries.join(split.select("ord", "list_id"), ["ord", "list_id"])
-        both = open_.groupBy("rep").agg(F.count_distinct("ord").alias("found")).filter(F.col("found") == orders).select("rep")
-        open_ = durable(open_.join(both, "rep").select("ord", "list_id", "times", "h1", "n", "rep", "component"))
-        members = open_.drop("component")
-        x = open_.select("ord", "list_id", "times", F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("rep").alias("b"), F.col("component").alias("cb"))
-        if turn < max_rounds:
-            one = F.min(F.struct(F.xxhash64("h1", F.lit(turn)).alias("u"), F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("rep").alias("a"), F.col("component").alias("ca")))
-            y = open_.groupBy("ord", "list_id").agg(one.alias("one")).select("ord", "list_id", "one.*")
-            pairs = agreed(x.join(y, ["ord", "list_id"]).filter("ca <> cb"))
-            more = durable(verify(docs, pairs, k, percent, parts).distinct())
-            tested, found = pairs.count(), more.count()
-            last = found * 20 < tested
-        else:
-            last, found = True, 0
-        if found:
-            at = home.select("rep", "component")
-            edges = more.join(at.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-            joined = connected(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("component", "new")
-            home = durable(
-                home.join(joined, home["component"] == joined["node"], "left").select("rep", "h1", "n", F.coalesce("new", "component").alias("component"))
-            )
-        if last or not found:
-            break
-
-    # What is left: every pair of different components that every order lists.
-    at = home.select("rep", "component")
-    entries = members.join(at, "rep")
-    split = entries.groupBy("ord", "list_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_ = durable(entries.join(split.select("ord", "list_id"), ["ord", "list_id"]))
-    x = open_.select("ord", "list_id", "times", F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("rep").alias("a"), F.col("component").alias("ca"))
-    y = open_.select("ord", "list_id", F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("rep").alias("b"), F.col("component").alias("cb"))
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    crossed = agreed(x.join(y, ["ord", "list_id"]).filter((F.col("ca") < F.col("cb")) & sizes))
-    if not crossed.isEmpty():
-        more = durable(verify(docs, crossed, k, percent, parts))
-        edges = more.join(at.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-        joined = connected(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("component", "new")
-        home = home.join(joined, home["component"] == joined["node"], "left").select("rep", "h1", "n", F.coalesce("new", "component").alias("component"))
-    comp = home.select(F.col("rep").alias("node"), "component")
-
-    final = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "n", "h1", "h2", "n_copies", F.coalesce("component", "rep").alias("component")
-    )
+    home = _linked(docs, classes.filter("rep is not null").select("h1", "rep", "n"), lists, k, percent, orders, parts, max_rounds)
+    smallest = home.groupBy("component").agg(F.min("rep").alias("component_id"))
+    final = classes.join(home.join(smallest, "component").select("h1", "component_id"), "h1", "left").select("n", "h1", "h2", "n_copies", "component_id")
     found = rows.filter("n > 0").join(final, ["n", "h1", "h2"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_copies"
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies"
     )
     alone = rows.filter("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies")
