@@ -2,8 +2,9 @@
 
 A candidate is any run of 16 or more characters of the key alphabets inside a word. Its features are its length, the
 transitions between character classes, dictionary coverage, path-like shape, the document's path and the words around
-it. A small random forest, fitted on the driver from a bounded set of labelled findings, is written out as SQL
-conditions; scanning is one pass per document with no shuffle and no Python on the executors.
+it. A small random forest, fitted on the driver from a bounded set of labelled findings, travels as three literal arrays
+(split features, thresholds, leaf shares) that built-in array functions walk; scanning is one pass per document with no
+shuffle and no Python on the executors.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ RUN = r"[A-Za-z0-9+/_~.\-]{16,}={0,2}"
 #: A name of words of one case, with its sign where that is in the run, and what may stand between a name and its value.
 NAME = r"^([A-Z]+|[A-Z]?[a-z]+)([_.\-]([A-Z]+|[A-Z]?[a-z]+|[0-9]{1,2}))+(=?)\x00"
 ASSIGNS = r"(=\x00[\"']?|\x00[\"']?[:=][\"']?)$"
-#: Fragments of ordinary words and identifiers, longest first where one holds another.
+# Common words and endings of English, German, French and Spanish prose, and of identifiers.
 DICTIONARY = (
-    "example config string default public static context request response number service function tion ment ness able "
-    "ing the and ver ent ion her ter con com org net www http html index page image file path user name test data type "
-    "list item code date time size text view main view lich keit heit ung sch ein eau eux ion que oi ou an en on er es re "
-    "st th nd ed or at ti ha ea ar al is it le de"
+    "the and ing ion tion ation ment ness able ible ful less ous ive ity ally ence ance ent ant ter ver her his hat ith "
+    "was for are not but all can had one our out you with have this from they will would there their what about which when make like time just "
+    "know take people into year your good some could them see other than then now look only come its over think also back after use two how work "
+    "first well way even new want because any these give day most der die und den von das mit sich des auf für ist dem nicht ein eine als auch "
+    "lich keit heit ung sch isch bar haft chen lein ge be er ent ver zer aus ab an les des une que pour dans qui sur pas plus par avec ont eau "
+    "eaux eux aille elle ment esse ique los las por con para como más pero sus este entre cuando ción dad mente ado ada ido ida oso osa "
+    "example config string default public static context request response number service function com org net www http https html index page image "
+    "file path user name test data type list item code date size text view main get set value error class object return import server client local host "
+    "mail port key id in on at of or re th en es ed nd st ou ea ha ti al ar it le de is to an he"
 ).split()
 NEAR = r"token|secret|passw|passwd|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private|key"
 FAR = r"sha|md5|hash|commit|checksum|digest|uuid|guid|version|revision|build|etag|path|file|http|www|href|src"
@@ -33,6 +39,19 @@ FEATURES = (
     "n_chars", "transitions", "digit_share", "upper_share", "hex", "coverage", "vowel_share", "separators", "known",
     "near", "far", "assigned", "quoted", "doc_path", "runs",
 )
+#: What invented findings are made of, and their shapes.
+NAMES = ["token", "api_key", "secret", "password", "auth_token", "access_key", "credential", "private_key"]
+LATIN = "the and tion ing er re on an th ed es in or at en st nd ha ou ti ea le wh".split()
+OTHER = "lich keit heit ung sch ein ber ver ge ch tz st er en eau eux aille ment tion que oi re ciones ado osa mente rr ll".split()
+REAL = [
+    '<name> = "<hex40>"', "<name>: <hex32>", '<NAME> = "<HEX40>"', "<name>=<c32>", "<word> AKIA<C16> <mot>", "<word> ghp_<c36>", "<name> sk-<c60>",
+    "Authorization: Bearer eyJ<c60>", "<name> is '<b64>'", "<name> <hex40> <mot>", "export <NAME>=<c36>", '{"<name>":"<c32>","user":"<word>"}', "<name>=<hex32>&user=<word>",
+]
+FALSE = [
+    "<word> <long> <mot>", "<mot> <lang>. <word>", "see /usr/share/<long>/<lang>.txt here", "at https://www.<long>.example.com/<word>", "<word> mail<no>.example.com <mot>",
+    "commit <hex40> <word>", "sha256 checksum <hex64>", "<word> <num> <mot>", "<name> = get_<long>_value()", "<name> = xxxxxxxxxxxxxxxxxxxxxxxx", "uuid <uuid> <word>",
+    "<word> ============================ <mot>", "<word> <LANG> <name>", "<name> <long> <word>", "<mot> <lang>-<long> <word>", "from <long>.<lang> import <word>",
+]
 #: Public prefixes of issued keys.
 KNOWN = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-|eyJ|npm_|SG\.)"
 
@@ -101,51 +120,36 @@ def candidates(text: Column, path: Column) -> Column:
 
 
 def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """(text, path, label): one invented finding a row, made from hashes of its number; 1 is a secret.
+    """(text, path, label): one invented finding a row, made from hashes of its number; 1 is a secret. `n` may be 0.
 
     Real keys: hexadecimal and base64 tokens, prefixed keys and passwords near their names. False positives: long words
     of several syllable sets, paths, addresses, hosts, digests of files and commits, identifiers, placeholders.
     """
     i = F.col("id")
-    h = lambda s: F.sha2(F.concat(i.cast("string"), F.lit(f"/{s}")), 256)
-    pick = lambda s, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64(i, F.lit(s)), F.lit(len(xs))) + 1).cast("int"))
-    many = lambda s, k, *xs: F.concat(*[pick(f"{s}{j}", *xs) for j in range(k)])
-    b64 = F.base64(F.unhex(h("b")))
-    clean64 = F.translate(b64, "+/=", "xyz")
-    latin = "the and tion ing er re on an th ed es in or at en st nd ha ou ti ea le wh".split()
-    other = "lich keit heit ung sch ein ber ver ge ch tz st er en eau eux aille ment tion que oi re ciones ado osa mente rr ll".split()
-    name = pick("n", "token", "api_key", "secret", "password", "auth_token", "access_key", "credential", "private_key")
-    real = F.array(
-        F.concat(name, F.lit(' = "'), F.substring(h("a"), 1, 40), F.lit('"')),
-        F.concat(name, F.lit(": "), F.substring(h("a"), 1, 32)),
-        F.concat(F.upper(name), F.lit(' = "'), F.upper(F.substring(h("a"), 1, 40)), F.lit('"')),
-        F.concat(name, F.lit("="), F.substring(clean64, 1, 32)),
-        F.concat(many("x", 2, *latin), F.lit(" AKIA"), F.upper(F.substring(clean64, 1, 16)), F.lit(" "), many("y", 2, *other)),
-        F.concat(many("x", 2, *latin), F.lit(" ghp_"), F.substring(clean64, 1, 36)),
-        F.concat(name, F.lit(" sk-"), F.substring(F.concat(clean64, clean64), 1, 48)),
-        F.concat(F.lit("Authorization: Bearer eyJ"), F.substring(F.concat(clean64, clean64), 1, 60)),
-        F.concat(name, F.lit(" is '"), b64, F.lit("'")),
-        F.concat(name, F.lit(" "), F.substring(h("a"), 1, 40), F.lit(" "), many("z", 3, *other)),
-    )
-    false = F.array(
-        F.concat(many("p", 2, *latin), F.lit(" "), many("q", 8, *latin), F.lit(" "), many("r", 2, *latin)),
-        F.concat(many("p", 2, *other), F.lit(" "), many("q", 7, *other), F.lit(". "), many("r", 2, *other)),
-        F.concat(F.lit("see /usr/share/"), many("q", 4, *latin), F.lit("/"), many("r", 4, *other), F.lit(".txt here")),
-        F.concat(F.lit("at https://www."), many("q", 4, *latin), F.lit(".example.com/"), many("r", 3, *latin)),
-        F.concat(many("p", 2, *latin), F.lit(" mail"), F.pmod(i, F.lit(90)).cast("string"), F.lit(".example.com "), many("r", 2, *latin)),
-        F.concat(F.lit("commit "), F.substring(h("a"), 1, 40), F.lit(" "), many("r", 2, *latin)),
-        F.concat(F.lit("sha256 checksum "), h("a")),
-        F.concat(many("p", 3, *latin), F.lit(" "), F.substring(F.translate(h("c"), "abcdef", "123456"), 1, 16), F.lit(" "), many("r", 2, *other)),
-        F.concat(name, F.lit(" = get_"), many("q", 5, *latin), F.lit("_value()")),
-        F.concat(name, F.lit(" = xxxxxxxxxxxxxxxxxxxxxxxx")),
-        F.concat(F.lit("uuid "), F.substring(h("a"), 1, 8), F.lit("-"), F.substring(h("a"), 9, 4), F.lit("-4"), F.substring(h("a"), 13, 3), F.lit("-a"), F.substring(h("a"), 16, 3), F.lit("-"), F.substring(h("a"), 20, 12)),
-        F.concat(many("p", 2, *latin), F.lit(" ============================ "), many("r", 2, *latin)),
-        F.concat(F.upper(many("p", 2, *latin)), F.lit(" "), F.upper(many("q", 8, *other)), F.lit(" "), name),
-        F.concat(name, F.lit(" "), many("q", 9, *latin), F.lit(" "), many("r", 3, *latin)),
-    )
-    at = lambda xs, s: F.element_at(xs, (F.pmod(F.xxhash64(i, F.lit(s)), F.size(xs).cast("long")) + 1).cast("int"))
-    label = F.pmod(F.xxhash64(i, F.lit("label")), F.lit(2)).cast("int")
-    return spark.range(n).select(F.when(label == 1, at(real, "k")).otherwise(at(false, "k")).alias("text"), F.lit("").alias("path"), label.alias("label"))
+    number = lambda s, m, *more: (F.pmod(F.xxhash64(i, F.lit(s), *more), F.lit(m)) + 1).cast("int")
+    pick = lambda s, xs, *more: F.element_at(F.split(F.lit("|".join(xs)), r"\|"), number(s, len(xs), *more))
+    glued = lambda s, k, xs: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: pick(s, xs, j)), "")
+    digits = F.sha2(i.cast("string"), 256)
+    clean64 = F.translate(F.concat(F.base64(F.unhex(digits)), F.base64(F.md5(digits).cast("binary"))), "+/=", "xyz")
+    parts = {
+        "<name>": pick("n", NAMES), "<NAME>": F.upper(pick("n", NAMES)), "<hex64>": digits, "<hex40>": F.substring(digits, 1, 40), "<hex32>": F.substring(digits, 1, 32),
+        "<HEX40>": F.upper(F.substring(digits, 1, 40)), "<uuid>": F.regexp_replace(F.substring(digits, 1, 32), "^(.{8})(.{4}).(.{3}).(.{3})", "$1-$2-4$3-a$4-"),
+        "<num>": F.substring(F.translate(digits, "abcdef", "123456"), 1, 16), "<no>": F.pmod(i, F.lit(90)).cast("string"), "<b64>": F.base64(F.unhex(digits)),
+        "<c32>": F.substring(clean64, 1, 32), "<c36>": F.substring(clean64, 1, 36), "<c60>": F.substring(clean64, 1, 60), "<C16>": F.upper(F.substring(clean64, 1, 16)),
+        "<word>": glued("x", 2, LATIN), "<mot>": glued("z", 3, OTHER), "<long>": glued("q", 8, LATIN), "<lang>": glued("r", 7, OTHER), "<LANG>": F.upper(glued("r", 8, OTHER)),
+    }
+
+    def filled(shape: Column) -> Column:
+        for mark, value in parts.items():
+            shape = F.replace(shape, F.lit(mark), value)
+        return shape
+
+    # Values that look real in examples and tests are placeholders; most other findings stand in code, settings or logs.
+    shown = pick("w", ["docs/example.md", "tests/fixtures/keys.json", "README.md", "samples/app.env", "test/test_login.py"])
+    used = pick("v", ["src/app.py", "config/prod.env", "deploy/values.yaml", "logs/2024.log", ""])
+    kind = F.pmod(F.xxhash64(i, F.lit("label")), F.lit(20)).cast("int")  # 0 to 9 real, 10 to 17 false, 18 and 19 real but for the path
+    path = F.when(kind >= 18, shown).when((kind >= 10) & (F.pmod(F.xxhash64(i, F.lit("p")), F.lit(3)) == 0), shown).otherwise(used)
+    return spark.range(n).select(filled(F.when((kind >= 10) & (kind < 18), pick("k", FALSE)).otherwise(pick("k", REAL))).alias("text"), path.alias("path"), (kind < 10).cast("int").alias("label"))
 
 
 def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 6, least: int = 5, seed: int = 1) -> list:
@@ -177,26 +181,55 @@ def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 6, l
     return [grow(rng.integers(0, len(y), len(y)), depth) for _ in range(trees)]
 
 
-def train(findings: DataFrame, **how) -> list:
-    """A forest from labelled findings (text, path, label); each text's candidates take its label."""
-    rows = findings.select("label", F.explode(candidates(F.col("text"), F.col("path"))).alias("c")).select("label", *[F.col(f"c.f.{n}") for n in FEATURES])
-    rows = sorted(tuple(r) for r in rows.collect())
+def train(findings: DataFrame, most: int = 20_000, **how) -> list:
+    """A forest from labelled findings (text, path, label); each text's candidates take its label.
+
+    At most `most` candidates are learned from, in the order of a hash of them, so what comes to the driver is bounded
+    however many rows there are or repeat. Rows with a null label or text teach nothing. Without any candidate the
+    forest is one leaf of 0 and nothing is reported; with one label only it is that label.
+    """
+    rows = findings.filter("label is not null and text is not null").select("label", F.explode(candidates(F.col("text"), F.col("path"))).alias("c"))
+    rows = rows.select(F.col("label").cast("double").alias("label"), *[F.col(f"c.f.{n}") for n in FEATURES])
+    rows = sorted(tuple(r) for r in rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(most).collect())
+    if not rows:
+        return [0.0]
     data = np.asarray(rows, dtype=np.float64)
     return grow_forest(data[:, 1:], data[:, 0], **how)
 
 
-def forest_score(forest: list, f: Column) -> Column:
-    """The forest's mean vote as one SQL expression over a struct of features."""
+def _depth(node) -> int:
+    return 1 + max(_depth(node[2]), _depth(node[3])) if isinstance(node, tuple) else 0
+
 
-    def sql(node) -> Column:
-        if not isinstance(node, tuple):
-            return F.lit(float(node))
-        return F.when(f[FEATURES[node[0]]] <= float(node[1]), sql(node[2])).otherwise(sql(node[3]))
+def forest_score(forest: list, f: Column) -> Column:
+    """The forest's mean vote as one SQL expression over a struct of features.
 
-    total = F.lit(0.0)
+    All trees are complete ones of the same depth: node i of a tree has the children 2i and 2i + 1, and a leaf above the
+    last level fills all places below it. The walk is `depth` steps in an `aggregate` over the trees' numbers.
+    """
+    depth = max(1, *map(_depth, forest))
+    split, bound, leaf = [], [], []
     for tree in forest:
-        total = total + sql(tree)
-    return total / float(len(forest))
+        level = [tree]
+        nodes = [None]  # places count from 1
+        for _ in range(depth):
+            nodes += level
+            level = [x for node in level for x in ((node[2], node[3]) if isinstance(node, tuple) else (node, node))]
+        split += [node[0] if isinstance(node, tuple) else 0 for node in nodes]
+        bound += [node[1] if isinstance(node, tuple) else 0.0 for node in nodes]
+        leaf += [float(x) for x in level]
+    literal = lambda xs, kind: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")
+    splits, bounds, leaves = literal(split, "int"), literal(bound, "double"), literal(leaf, "double")
+    width = 1 << depth
+    x = F.array(*[f[n] for n in FEATURES])
+
+    def vote(x: Column, tree: Column) -> Column:
+        step = lambda at, _: at * 2 + F.when(F.get(x, F.get(splits, tree * width + at)) <= F.get(bounds, tree * width + at), 0).otherwise(1)
+        place = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
+        return F.get(leaves, tree * width + place - width)
+
+    trees = F.sequence(F.lit(0), F.lit(len(forest) - 1))
+    return let(x, lambda x: F.aggregate(trees, F.lit(0.0), lambda total, tree: total + vote(x, tree)) / float(len(forest)))
 
 
 def _found(forest: list, text: Column, path: Column, least: float) -> Column:
@@ -210,8 +243,8 @@ def _found(forest: list, text: Column, path: Column, least: float) -> Column:
 def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", least: float = 0.5) -> DataFrame:
     """One row per finding: doc_id, word_index (from 0), n_chars, digest (sha-256 of the value) and score.
 
-    Null and empty texts have no findings. Findings of repeated rows repeat. The secret itself is not returned. Only id,
-    text and path are read, so other columns can't clash; a null path counts as empty.
+    Null and empty texts and empty tables have no findings. Findings of repeated rows repeat. The secret itself is not
+    returned. Only id, text and path are read, so other columns can't clash; a null path counts as empty.
     """
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit("")
     found = docs.select(
