@@ -44,7 +44,7 @@ def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(mod=5, fold=0))
-    return toxicity.score(docs, model).withColumn("held_out", held_out(mod=5, fold=0))
+    return toxicity.score(docs, model).select("doc_id", held_out(mod=5, fold=0).alias("held_out"), "score", "predicted")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
