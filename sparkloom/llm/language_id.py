@@ -32,25 +32,31 @@ _CLASS[65:91] = np.arange(97, 123)
 _CLASS[128:] = np.arange(128, 256)
 
 
-def ngram_counts(column: pa.Array, block: int = 256):
-    """Yield (first row, counts) over blocks of rows; counts has a row of DIM hashed n-gram counts for each text."""
+def ngram_counts(column: pa.Array, block: int = 256, piece: int = 1 << 20):
+    """Yield (first row, counts) over blocks of rows; counts has a row of DIM hashed n-gram counts for each text.
+
+    A block is counted `piece` bytes at a time, so a long text takes no more memory than a short one besides itself.
+    """
     for first, last, buf, offs in slices(column):
         for a in range(0, last - first, block):
             b = min(a + block, last - first)
             cut = offs[a : b + 1] - offs[a]
-            letters = _CLASS[buf[offs[a] : offs[b]]]
-            rows = np.repeat(np.arange(b - a), np.diff(cut))
             out = np.zeros((b - a) * DIM)
-            for n in ORDERS:
-                if len(letters) < n:
-                    continue
-                m = len(letters) - n + 1
-                code = np.zeros(m, dtype=np.int64)
-                for j in range(n):
-                    code = code * 257 + letters[j : j + m]
-                use = (rows[:m] == rows[n - 1 :]) & (letters[n // 2 : n // 2 + m] > 0)
-                at = ((code[use] * 0x9E3779B1 + n * 0x85EBCA6B) >> 7) % DIM
-                out += np.bincount(rows[:m][use] * DIM + at, minlength=len(out))
+            for start in range(0, int(cut[-1]), piece):
+                end = min(start + piece, int(cut[-1]))
+                more = min(end + max(ORDERS) - 1, int(cut[-1]))
+                letters = _CLASS[buf[offs[a] + start : offs[a] + more]]
+                rows = np.searchsorted(cut, np.arange(start, more), "right") - 1
+                for n in ORDERS:
+                    m = min(end - start, len(letters) - n + 1)
+                    if m <= 0:
+                        continue
+                    code = np.zeros(m, dtype=np.int64)
+                    for j in range(n):
+                        code = code * 257 + letters[j : j + m]
+                    use = (rows[:m] == rows[n - 1 : n - 1 + m]) & (letters[n // 2 : n // 2 + m] > 0)
+                    at = ((code[use] * 0x9E3779B1 + n * 0x85EBCA6B) >> 7) % DIM
+                    out += np.bincount(rows[:m][use] * DIM + at, minlength=len(out))
             yield first + a, out.reshape(b - a, DIM)
 
 
@@ -132,14 +138,15 @@ def fit(labels: list[str], counts: np.ndarray) -> Model:
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200) -> Model:
     """Fit on at most `per_language` rows of each language among the rows where `learn` holds and lang is known.
 
-    The rows are the first in the order of a hash of the id, so reruns agree. Only n-gram counts come to the driver
-    (DIM numbers a row).
+    The rows are the first in the order of a hash of the id, so reruns agree; of repeated rows of an id one teaches, that
+    with the least hash, so the bound holds for rows. Only n-gram counts come to the driver (DIM numbers a row). Rows
+    without an id, a text or a language teach nothing, and without any row nothing is learned.
     """
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
+    chosen = known.filter("doc_id is not null").select("doc_id", "lang").distinct().withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
 
     def count(batches):
         for batch in batches:
@@ -147,7 +154,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 packed = pa.array([x.tobytes() for x in counts.astype(np.float32)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), packed], names=["lang", "counts"])
 
-    picked = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    picked = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    picked = picked.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("lang", "text")
     found = picked.mapInArrow(count, "lang string, counts binary").toArrow().sort_by([("lang", "ascending"), ("counts", "ascending")])
     langs = found["lang"].to_pylist()
     return fit(langs, np.frombuffer(b"".join(found["counts"].to_pylist()), dtype=np.float32).reshape(len(langs), DIM))
