@@ -102,7 +102,7 @@ def quoted(value: Column) -> Column:
 
 def literal_text(json: Column) -> Column:
     """A JSON value as a literal: None, True, False, quoted strings, and blanks behind the commas and colons of lists and objects."""
-    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\\\]|\\\\.)*"|[-+.0-9eE]+|[a-z]+|[\[\]{},:]'), F.lit(0))
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[-+.0-9eE]+|[a-z]+|[\[\]{},:]'), F.lit(0))
     # How constants and separators of JSON are shown.
     named = {"null": "None", "true": "True", "false": "False", ",": ", ", ":": ": "}
 

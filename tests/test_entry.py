@@ -35,8 +35,9 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_works_without_the_optional_subpackage(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "spark-warehouse"))
+@pytest.mark.parametrize("left_out", [["llm"], ["llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_works_without_the_optional_modules(tmp_path, left_out):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(*left_out, ".git", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "repo", env=env, check=True, timeout=120)
