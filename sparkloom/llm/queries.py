@@ -52,7 +52,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0"))
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.filter("doc_id % 20 = 0"), query_id="doc_id")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,10 +159,10 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_quotation_is_not_abuse(spark):
-    model = toxicity.Model(toxicity.build([(t, False) for t in toxicity.LEXICON]), np.full(len(toxicity.LEXICON), 2.0), toxicity.PRIOR)
+    model = toxicity.Model(toxicity.build([(t, False) for t in toxicity.LEXICON]), np.full((len(toxicity.LEXICON), 2), 2.0), toxicity.PRIOR)
     texts = ["you are an idiot and a moron", 'the word "idiot" was used', "you idi0t", "a fine day", ""]
     rows = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
-    assert [rows[i].predicted for i in range(5)] == [1, 0, 1, 0, 0] and rows[1].quoted and rows[2].misspelled
+    assert [rows[i].predicted for i in range(5)] == [1, 0, 1, 0, 0] and rows[1].n_quoted == 1 and rows[2].n_misspelled == 1
 
 
 def duck(sql, folder=SMALL):
