@@ -1,10 +1,15 @@
-"""Token counts: pieces are counted once per distinct pre-token and summed by per-document pre-token frequencies.
+"""Token counts: pieces are counted once per distinct pre-token and joined to per-document pre-token frequencies.
 
-No piece of the vocabulary has a space mark after another character, so no merge crosses the place before a run of
-spaces: pre-tokens (a run of spaces with the word behind it) are encoded independently and their piece counts add up.
-Each Arrow slice is reduced to its distinct pre-tokens; the library sees every one of them once, a bounded cache keeps
-frequent ones over slices, and the counts are joined back to the (document, pre-token) rows by dictionary code and
-summed. No ids of documents are kept and nothing is shuffled.
+No piece of the vocabulary has a space mark after another character (`check_model` makes sure of that), so no merge
+crosses the place before a run of spaces: pre-tokens (a run of spaces with the word behind it) are encoded independently
+and their piece counts add up.
+
+1. Groups of documents, a bounded number of bytes each, are cut into pre-tokens. A group keeps its distinct pre-tokens and,
+   for each document, how often it has which of them, in packed arrays.
+2. The distinct pre-tokens of all groups go to the library, each of them once in the whole job.
+3. The numbers of pieces go back to the groups that have the pre-token, and each document sums frequency times number.
+
+No ids of documents are kept. What moves is a group's distinct pre-tokens, not a row per document and pre-token.
 """
 
 from __future__ import annotations
@@ -15,43 +20,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._text import slices
+from sparkloom.llm.components import durable
 
 _MARK = "▁"
+#: Bytes of a group of documents, about; a longer document is a group of its own. Longer texts are cut into pieces.
+GROUP_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 _SPACE_ONLY = np.zeros(256, dtype=bool)
 _SPACE_ONLY[0x20] = True
 
 
-def piece_counter(model_path: str, cache_size: int = 1 << 18):
-    """A function from a list of distinct pre-tokens (without the one space that the library puts first) to counts."""
+def check_model(model_path: str) -> None:
+    """An error if a piece has a space mark behind another character, as pre-tokens would not add up then."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    bad = [x for x in (lib.id_to_piece(i) for i in range(lib.get_piece_size())) if _MARK in x.lstrip(_MARK)]
+    if bad:
+        raise ValueError(f"pieces that cross the start of a word: {bad[:3]}")
+
+
+def piece_counter(model_path: str):
+    """A function from a list of pre-tokens (without the one space that the library puts first) to counts of pieces."""
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    cache: dict[str, int] = {}
-
-    def count(tokens: list[str]) -> np.ndarray:
-        out = np.fromiter((cache.get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
-        missing = np.flatnonzero(out < 0)
-        if len(missing):
-            fresh = [tokens[i] for i in missing]
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                n = [len(x) for x in lib.encode(part, num_threads=1)]
-                out[missing[at : at + 20_000]] = n
-                cache.update(zip(part, n, strict=True))
-            while len(cache) > cache_size:
-                for key in list(cache)[: cache_size // 4]:
-                    del cache[key]
-        return out
+
+    def count(tokens: list[str]) -> list[int]:
+        # A pre-token that is one space alone: the space was left out, so the library gets no text for it.
+        return [len(x) if t else 1 for t, x in zip(tokens, lib.encode(tokens, num_threads=1), strict=True)]
 
     return count
 
 
-def _pretokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each pre-token; the first space of one is left out, as the library adds it again."""
+def _pretokens(buf: np.ndarray, offs: np.ndarray, fresh: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each pre-token; the first space of one is left out, as the library adds it again.
+
+    Without `fresh` the first row goes on from another piece, at the start of a run of spaces.
+    """
     n = len(buf)
     space = _SPACE_ONLY[buf]
     first = np.zeros(n + 1, dtype=bool)
     first[offs] = True
+    first[0] = fresh
     first = first[:n]
     prev_space = np.empty_like(space)
     prev_space[0], prev_space[1:] = False, space[:-1]
@@ -62,6 +73,84 @@ def _pretokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts + (space[starts] & ~first[starts]), ends, rows
 
 
+def _pieces(buf: np.ndarray, offs: np.ndarray):
+    """(bytes, offsets, first row, whether it is the row's start): a long text in pieces that begin at a run of spaces."""
+    if len(buf) <= PIECE_BYTES or len(offs) > 2:
+        yield buf, offs, True
+        return
+    at = 0
+    while at < len(buf):
+        end = at + PIECE_BYTES
+        while end < len(buf):
+            part = _SPACE_ONLY[buf[end - 1 : end + PIECE_BYTES]]
+            cut = np.flatnonzero(part[1:] & ~part[:-1])
+            if len(cut):
+                end += int(cut[0])
+                break
+            end += len(part) - 1
+        end = min(end, len(buf))
+        yield buf[at:end], np.array([0, end - at]), at == 0
+        at = end
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold all of them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def _large(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // n]) if n else np.zeros(0, dtype=np.uint32)
+
+
+class _Group:
+    """Distinct pre-tokens of some documents, and the frequencies of each document."""
+
+    def __init__(self):
+        self.code: dict[str, int] = {}
+        self.ids, self.n_bytes, self.ends, self.codes, self.freqs = [], [], [], [], []
+        self.size = self.pairs = 0
+
+    def add(self, ids: list, column: pa.Array, buf: np.ndarray, offs: np.ndarray) -> None:
+        n_bytes = np.diff(offs)
+        self.size += len(buf)
+        blob = buf.tobytes()
+        if _MARK.encode() in blob:  # the mark itself is read as a space; it changes the length of the bytes
+            texts = [x.replace(_MARK, " ").encode() for x in column.fill_null("").to_pylist()]
+            blob = b"".join(texts)
+            buf, offs = np.frombuffer(blob, dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+        pairs: list[np.ndarray] = []
+        for part, cuts, fresh in _pieces(buf, offs):
+            if not len(part):
+                continue
+            starts, ends, at = _pretokens(part, cuts, fresh)
+            lens = ends - starts
+            head = np.cumsum(lens) - lens
+            body = part[np.arange(int(lens.sum())) + np.repeat(starts - head, lens)]
+            coded = pa.LargeStringArray.from_buffers(len(lens), pa.py_buffer(np.append(head, lens.sum()).astype(np.int64)), pa.py_buffer(body.tobytes())).dictionary_encode()
+            mine = np.array([self.code.setdefault(t, len(self.code)) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+            pairs.append(at << 32 | mine[coded.indices.to_numpy()])
+        key, freq = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        count = np.bincount(key >> 32, minlength=len(n_bytes))
+        self.ids += ids
+        self.n_bytes.append(n_bytes)
+        self.ends.append(np.cumsum(count) + self.pairs)
+        self.codes.append(key & 0xFFFFFFFF)
+        self.freqs.append(freq)
+        self.pairs += len(key)
+
+    def batch(self, no: int) -> pa.RecordBatch:
+        cat = lambda xs: np.concatenate(xs).astype(np.int64)
+        tokens = pa.array([list(self.code)], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([no], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())), pa.array([cat(self.n_bytes).tobytes()], pa.binary()), pa.array([cat(self.ends).tobytes()], pa.binary()),
+                pa.array([_small(cat(self.codes))], pa.binary()), pa.array([_small(cat(self.freqs))], pa.binary()), tokens,
+            ],
+            names=["group", "ids", "n_bytes", "ends", "codes", "freqs", "tokens"],
+        )
+
+
 def token_counts(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096
 ) -> DataFrame:
@@ -70,41 +159,47 @@ def token_counts(
     Null and empty texts have no bytes and no tokens. Null ids and repeated rows stay as they are. Other columns are
     not read, so their names can't clash.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    check_model(model_path)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().alias("part"))
 
-    def run(batches):
-        count = piece_counter(model_path)
+    def cut(batches):
+        group, no = _Group(), 0
         for batch in batches:
-            n_bytes, n_tokens = [], []
+            if batch.num_rows and not no:
+                no = batch.column(2)[0].as_py() << 32
             for first, last, buf, offs in slices(batch.column(1)):
-                n_bytes.append(np.diff(offs))
-                if not len(buf):
-                    n_tokens.append(np.zeros(last - first, dtype=np.int64))
-                    continue
-                blob = buf.tobytes()
-                if _MARK.encode() in blob:  # the mark itself is read as a space; it changes the length of the bytes
-                    texts = [x.replace(_MARK, " ").encode() for x in batch.column(1).slice(first, last - first).fill_null("").to_pylist()]
-                    blob = b"".join(texts)
-                    buf, offs = np.frombuffer(blob, dtype=np.uint8), np.cumsum([0, *map(len, texts)])
-                starts, ends, at = _pretokens(buf, offs)
-                cuts = np.stack([starts, ends], 1).astype(np.int64)
-                # Cut the slice into pre-tokens without a Python object for each, then code them by value.
-                lens = cuts[:, 1] - cuts[:, 0]
-                head = np.cumsum(lens) - lens
-                body = buf[np.arange(int(lens.sum())) + np.repeat(starts - head, lens)]
-                coded = pa.StringArray.from_buffers(
-                    len(lens), pa.py_buffer(np.append(head, lens.sum()).astype(np.int32)), pa.py_buffer(body.tobytes())
-                ).dictionary_encode()
-                pieces = count(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-                # A pre-token that is one space alone: the space was left out, so the library got no text for it.
-                pieces = np.where(lens == 0, 1, pieces)
-                n_tokens.append(np.bincount(at, weights=pieces, minlength=last - first).astype(np.int64))
-            if batch.num_rows:
+                if group.ids and group.size + len(buf) > GROUP_BYTES:
+                    yield group.batch(no)
+                    group, no = _Group(), no + 1
+                group.add(batch.column(0).slice(first, last - first).to_pylist(), batch.column(1).slice(first, last - first), buf, offs)
+        if group.ids:
+            yield group.batch(no)
+
+    groups = durable(rows.mapInArrow(cut, "group long, ids array<long>, n_bytes binary, ends binary, codes binary, freqs binary, tokens array<string>"))
+    own = groups.select("group", F.posexplode("tokens").alias("code", "token"))
+
+    def encode(batches):
+        count = piece_counter(model_path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(0).to_pylist()), pa.int32())], names=["token", "pieces"])
+
+    # Every distinct pre-token once, whatever number of groups has it.
+    pieces = own.select("token").distinct().mapInArrow(encode, "token string, pieces int")
+    known = own.join(pieces, "token").groupBy("group").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
+
+    def add(batches):
+        for batch in batches:
+            for ids, n_bytes, ends, codes, freqs, known in zip(*(c for c in batch.columns), strict=True):
+                end = np.frombuffer(ends.as_py(), dtype=np.int64)
+                n = int(end[-1]) if len(end) else 0
+                table = known.values
+                pieces = np.zeros(len(table) if table is not None else 0, dtype=np.int64)
+                if len(pieces):
+                    pieces[table.field(0).to_numpy()] = table.field(1).to_numpy()
+                sums = np.r_[0, np.cumsum(pieces[_large(codes.as_py(), n)] * _large(freqs.as_py(), n).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.concatenate(n_bytes)), pa.array(np.concatenate(n_tokens))],
-                    names=["doc_id", "n_bytes", "n_tokens"],
+                    [ids.values, pa.array(np.frombuffer(n_bytes.as_py(), dtype=np.int64)), pa.array(np.diff(sums[np.r_[0, end]]))], names=["doc_id", "n_bytes", "n_tokens"]
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn(
-        "over_limit", F.col("n_tokens") > F.lit(limit)
-    )
+    met = groups.drop("tokens").join(known, "group", "left").select("ids", "n_bytes", "ends", "codes", "freqs", "known")
+    return met.mapInArrow(add, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
