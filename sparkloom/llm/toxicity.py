@@ -264,7 +264,7 @@ class Model:
 
 
 #: Where the regression starts and is pulled to: one plain hit is abuse, a misspelling as its weight says, no hit is clean.
-PRIOR = np.array([2.0, 0.5, 1.0, 0.0, 1.0, 0.1, -3.5])
+PRIOR = np.array([2.0, 0.5, 2.0, 0.0, 1.0, 0.1, -3.5])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 3.0, steps: int = 60) -> np.ndarray:
