@@ -347,19 +347,18 @@ def _meeting(open_: DataFrame) -> DataFrame:
     return first.filter("before <= s - r").select("list_id", "h1", "n", "component")
 
 
-def _candidates(meeting: DataFrame, percent: int) -> DataFrame:
-    """(ha, hb) once: every pair of different components that meets and has sizes near enough."""
-    x, y = (meeting.select("list_id", *[F.col(c).alias(f"{side}_{c}") for c in ("h1", "n", "component")]) for side in ("a", "b"))
-    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    return x.join(y, "list_id").filter((F.col("a_component") < F.col("b_component")) & sizes).select(F.col("a_h1").alias("ha"), F.col("b_h1").alias("hb")).distinct()
+def _agreed(meeting: DataFrame, open_: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(a, ha, b, hb) once: the pairs of different components that meet and share enough prefix tokens in every order.
 
-
-def _agreed(pairs: DataFrame, open_: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(a, ha, b, hb) of the pairs (ha, hb) that share enough prefix tokens in every order, counted from packed lists."""
-    entry = F.struct("ord", "list_id", "times")
-    packed = open_.groupBy("h1").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_list(entry).alias("lists"))
-    side = lambda s: packed.select(F.col("h1").alias(f"h{s}"), F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("lists").alias(f"lists_{s}"))
-    met = pairs.join(side("a"), "ha").join(side("b"), "hb")
+    Every entry brings its class's packed lists along, so a pair is counted where it meets and only those that pass move on.
+    """
+    packed = open_.groupBy("h1").agg(F.first("rep").alias("rep"), F.collect_list(F.struct("ord", "list_id", "times")).alias("lists"))
+    full = meeting.join(packed, "h1")
+    side = lambda s: full.select(
+        "list_id", F.col("h1").alias(f"h{s}"), F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}"), F.col("lists").alias(f"lists_{s}")
+    )
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    met = side("a").join(side("b"), "list_id").filter((F.col("ca") < F.col("cb")) & sizes).select("ha", "a", "na", "lists_a", "hb", "b", "nb", "lists_b")
 
     def run(batches):
         for batch in batches:
@@ -378,7 +377,7 @@ def _agreed(pairs: DataFrame, open_: DataFrame, percent: int, orders: int) -> Da
                 keep.append(all(int(ta[oa == o][np.isin(la[oa == o], lb[ob == o])].sum()) >= least[i] for o in range(orders)))
             yield pa.RecordBatch.from_arrays([cols[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "ha", "b", "hb")], names=["a", "ha", "b", "hb"])
 
-    return met.mapInArrow(run, "a long, ha long, b long, hb long")
+    return met.mapInArrow(run, "a long, ha long, b long, hb long").distinct()
 
 
 def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent: int, orders: int, parts: int, max_rounds: int) -> DataFrame:
@@ -392,14 +391,17 @@ def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent:
         return durable(home.join(joined, home["component"] == joined["node"], "left").select("h1", "rep", "n", F.coalesce("new", "component").alias("component")))
 
     # All classes of a list are held against one of them, first the one that shares most of its shingles, then others.
-    # Lists of one component need no more tests. When few enough meet in lists, all pairs that meet are tested.
+    # Lists of one component need no more tests. When few enough meet in lists, or a turn closes few of them, all pairs
+    # that meet are tested.
     enough = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("least_times") >= F.expr(_least("na", "nb", percent)))
+    before = float("inf")
     for turn in range(max_rounds + 1):
         open_ = _open_entries(members, home, percent, orders)
         meeting = _meeting(open_)
         sizes = meeting.groupBy("list_id").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum("m")).first()
-        if not sizes[0] or turn == max_rounds or turn and sizes[0] <= 4 * sizes[1]:
+        if not sizes[0] or turn == max_rounds or turn and (sizes[0] <= 4 * sizes[1] or sizes[1] > 0.9 * before):
             break
+        before = sizes[1]
         rank = F.struct((-F.round(F.col("share") * 8) if turn else -F.col("share")).alias("s"), F.xxhash64("h1", F.lit(turn)).alias("u"))
         one = open_.groupBy("ord", "list_id").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("component").alias("ca")), rank).alias("one"))
         x = open_.select("ord", "list_id", "times", F.col("rep").alias("b"), F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("component").alias("cb"))
@@ -412,7 +414,7 @@ def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent:
 
     # What is left: every pair of different components that every order lists.
     if sizes[0]:
-        crossed = durable(_agreed(_candidates(meeting, percent), open_, percent, orders))
+        crossed = durable(_agreed(meeting, open_, percent, orders))
         home = contract(home, verify(docs, crossed, k, percent, parts))
     return home
 
