@@ -4,18 +4,23 @@ No piece of the vocabulary has a space mark after another character (`check_mode
 crosses the place before a run of spaces: pre-tokens (a run of spaces with the word behind it) are encoded independently
 and their piece counts add up.
 
-1. Groups of documents, a bounded number of bytes each, are cut into pre-tokens. A group keeps its distinct pre-tokens and,
-   for each document, how often it has which of them, in packed arrays.
-2. The distinct pre-tokens of all groups go to the library, each of them once in the whole job.
-3. The numbers of pieces go back to the groups that have the pre-token, and each document sums frequency times number.
-
-No ids of documents are kept. What moves is a group's distinct pre-tokens, not a row per document and pre-token.
+1. Groups of documents, a bounded number of bytes each, are cut into pre-tokens. A group keeps its distinct pre-tokens, in
+   the order of a hash's buckets, and for each document how often it has which of them, in packed arrays.
+2. A bucket brings the pre-tokens of all groups together and gives each distinct one to the library, once in the whole job.
+   There are as many buckets as input partitions and more, so a bucket is about as large as a partition's share.
+3. The numbers of pieces go back to the groups in the same order, and each document sums frequency times number.
+
+No ids of documents are kept. What moves is a group's distinct pre-tokens and a byte or two for each on the way back,
+not a row per document and pre-token.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +108,14 @@ def _large(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // n]) if n else np.zeros(0, dtype=np.uint32)
 
 
+_PACKED = pa.struct([("bucket", pa.int64()), ("n", pa.int64()), ("lens", pa.binary()), ("body", pa.binary())])
+
+
 class _Group:
     """Distinct pre-tokens of some documents, and the frequencies of each document."""
 
-    def __init__(self):
+    def __init__(self, buckets: int):
+        self.buckets = buckets
         self.code: dict[str, int] = {}
         self.ids, self.n_bytes, self.ends, self.codes, self.freqs = [], [], [], [], []
         self.size = self.pairs = 0
@@ -141,11 +150,25 @@ class _Group:
 
     def batch(self, no: int) -> pa.RecordBatch:
         cat = lambda xs: np.concatenate(xs).astype(np.int64)
-        tokens = pa.array([list(self.code)], pa.list_(pa.string()))
+        words = [t.encode("utf-8", "surrogatepass") for t in self.code]
+        at = np.fromiter((xxhash.xxh32_intdigest(w) % self.buckets for w in words), dtype=np.int64, count=len(words))
+        order = np.argsort(at, kind="stable")
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[order] = np.arange(len(words))
+        cut = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])[: len(words)]
+        lists = [order[a:b].tolist() for a, b in zip(cut, np.r_[cut[1:], len(words)], strict=True)]
+        tokens = [
+            {"bucket": int(at[x[0]]), "n": len(x), "lens": _small(np.array([len(words[i]) for i in x])), "body": zlib.compress(b"".join(words[i] for i in x), 1)} for x in lists
+        ]
+        # Codes rise within a document, so the differences are small; a document's first one goes back to its start.
+        row = np.repeat(np.arange(len(self.ids)), np.diff(cat(self.ends), prepend=0))
+        codes, freqs = rank[cat(self.codes)], cat(self.freqs)
+        by = np.lexsort((codes, row))
+        steps, freqs = np.diff(codes[by], prepend=0).astype(np.int32), freqs[by]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([no], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())), pa.array([cat(self.n_bytes).tobytes()], pa.binary()), pa.array([cat(self.ends).tobytes()], pa.binary()),
-                pa.array([_small(cat(self.codes))], pa.binary()), pa.array([_small(cat(self.freqs))], pa.binary()), tokens,
+                pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(_small(freqs), 1)], pa.binary()), pa.array([tokens], pa.list_(_PACKED)),
             ],
             names=["group", "ids", "n_bytes", "ends", "codes", "freqs", "tokens"],
         )
@@ -162,41 +185,53 @@ def token_counts(
     check_model(model_path)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().alias("part"))
 
+    buckets = 4 * max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def cut(batches):
-        group, no = _Group(), 0
+        group, no = _Group(buckets), 0
         for batch in batches:
             if batch.num_rows and not no:
                 no = batch.column(2)[0].as_py() << 32
             for first, last, buf, offs in slices(batch.column(1)):
                 if group.ids and group.size + len(buf) > GROUP_BYTES:
                     yield group.batch(no)
-                    group, no = _Group(), no + 1
+                    group, no = _Group(buckets), no + 1
                 group.add(batch.column(0).slice(first, last - first).to_pylist(), batch.column(1).slice(first, last - first), buf, offs)
         if group.ids:
             yield group.batch(no)
 
-    groups = durable(rows.mapInArrow(cut, "group long, ids array<long>, n_bytes binary, ends binary, codes binary, freqs binary, tokens array<string>"))
-    own = groups.select("group", F.posexplode("tokens").alias("code", "token"))
+    packed = "bucket: long, n: long, lens: binary, body: binary"
+    groups = durable(rows.mapInArrow(cut, f"group long, ids array<long>, n_bytes binary, ends binary, codes binary, freqs binary, tokens array<struct<{packed}>>"))
+    own = groups.select("group", F.inline("tokens")).repartition(F.col("bucket")).sortWithinPartitions("bucket")
 
     def encode(batches):
+        """Batches of a partition hold whole buckets but for their ends, so counts are kept until the bucket changes."""
         count = piece_counter(model_path)
+        now, known = None, {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(0).to_pylist()), pa.int32())], names=["token", "pieces"])
-
-    # Every distinct pre-token once, whatever number of groups has it.
-    pieces = own.select("token").distinct().mapInArrow(encode, "token string, pieces int")
-    known = own.join(pieces, "token").groupBy("group").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
+            group, bucket, out = batch.column(0), batch.column(1).to_pylist(), []
+            for b, n, lens, body in zip(bucket, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if b != now:
+                    now, known = b, {}
+                end, body = np.cumsum(_large(lens, n).astype(np.int64)).tolist(), zlib.decompress(body)
+                words = [body[x:y].decode("utf-8", "surrogatepass") for x, y in zip([0, *end[:-1]], end, strict=True)]
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, count(fresh), strict=True))
+                out.append(_small(np.array([known[w] for w in words])))
+            yield pa.RecordBatch.from_arrays([group, batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["group", "bucket", "n", "pieces"])
+
+    pieces = own.mapInArrow(encode, "group long, bucket long, n long, pieces binary")
+    known = pieces.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "pieces"))).alias("known"))
 
     def add(batches):
         for batch in batches:
             for ids, n_bytes, ends, codes, freqs, known in zip(*(c for c in batch.columns), strict=True):
                 end = np.frombuffer(ends.as_py(), dtype=np.int64)
                 n = int(end[-1]) if len(end) else 0
-                table = known.values
-                pieces = np.zeros(len(table) if table is not None else 0, dtype=np.int64)
-                if len(pieces):
-                    pieces[table.field(0).to_numpy()] = table.field(1).to_numpy()
-                sums = np.r_[0, np.cumsum(pieces[_large(codes.as_py(), n)] * _large(freqs.as_py(), n).astype(np.int64))]
+                pieces = [_large(x["pieces"], x["n"]).astype(np.int64) for x in known.as_py() or ()]
+                pieces = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int64)
+                code = np.cumsum(np.frombuffer(zlib.decompress(codes.as_py()), dtype=np.int32).astype(np.int64))
+                sums = np.r_[0, np.cumsum(pieces[code] * _large(zlib.decompress(freqs.as_py()), n).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [ids.values, pa.array(np.frombuffer(n_bytes.as_py(), dtype=np.int64)), pa.array(np.diff(sums[np.r_[0, end]]))], names=["doc_id", "n_bytes", "n_tokens"]
                 )
