@@ -1,7 +1,9 @@
 """A corpus pipeline over the table `documents`: language, near-duplicates, secrets, source mix, pieces.
 
 Each stage reads the Parquet that the one before it wrote, whole, and all but the last return the columns of
-`documents`.
+`documents`. Empty tables give empty ones in every stage; nulls and repeated rows are treated as the operators say:
+null and letterless texts go in the first stage, rows with a null id or source are kept, and repeated rows of a kept id
+stay rows of their own until the mix, which takes each by itself. Columns beyond those of `documents` pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a learned language, with `lang` as predicted; those without a letter go."""
+    """Texts in a learned language, with `lang` as predicted; those without a letter go.
+
+    Where no row outside the held-out fold has a language, nothing can be learned and every document is rejected.
+    """
     model = language_id.train(docs, ~language_id.held_out())
     found = language_id.identify(docs, model, pred_col="__pred", score_col="__score").filter("__pred <> 'und'")
     return found.withColumn("lang", F.col("__pred")).select(*docs.columns)
