@@ -156,7 +156,7 @@ class _Group:
         rank = np.empty(len(words), dtype=np.int64)
         rank[order] = np.arange(len(words))
         cut = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])[: len(words)]
-        lists = [order[a:b].tolist() for a, b in zip(cut, np.r_[cut[1:], len(words)], strict=True)]
+        lists = [order[a:b].tolist() for a, b in zip(cut, np.r_[cut[1:], len(words)], strict=True)] if words else []
         tokens = [
             {"bucket": int(at[x[0]]), "n": len(x), "lens": _small(np.array([len(words[i]) for i in x])), "body": zlib.compress(b"".join(words[i] for i in x), 1)} for x in lists
         ]
