@@ -66,6 +66,17 @@ def tokens_and_labels(records: DataFrame, instruction: str = "instruction", extr
     return out.withColumn("input_ids", arrays.truncate(F.col("input_ids"), most)).withColumn("labels", arrays.truncate(F.col("labels"), most))
 
 
+def pair_tokens(pairs: DataFrame, first: str = "sentence1", second: str = "sentence2", end: int = 2, most: int | None = None) -> DataFrame:
+    """`pairs` with input_ids: both sentences, each closed by `end`, cut to `most`; the sentences themselves go."""
+    ids = lambda c: F.concat(arrays.token_ids(arrays.tokenize(F.coalesce(c, F.lit("")))), F.array(F.lit(end)))
+    return pairs.withColumn("input_ids", arrays.truncate(F.concat(ids(first), ids(second)), most)).drop(first, second)
+
+
+def joined(df: DataFrame, prefix: str, mark: str = ".") -> Column:
+    """The columns with a prefix as one text, nulls shown as nan."""
+    return F.array_join(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")) for c in columns_from(df, prefix)]), mark)
+
+
 def pick_column(df: DataFrame, names: list[str], default=None) -> Column:
     """The first of `names` that `df` has, else the default."""
     return next((F.col(n) for n in names if n in df.columns), F.lit(default))

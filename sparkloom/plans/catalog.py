@@ -582,10 +582,27 @@ def pair_prep(spark, sf):
     return b.join(d, "idx").withColumnRenamed("label", "labels").withColumn("width", width)
 
 
+@query("SELECT c_custkey, c_name || '.' || c_nationkey AS joined FROM customer")
+def joined_columns(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", records.joined(c, "c_na").alias("joined"))
+
+
 # --- tokens, masks, packing ----------------------------------------------------------------------------------------
 
 _TOK = r"'[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]|[ \t\r\n]+'"
 _IDS = "list_transform(regexp_extract_all({x}, " + _TOK + "), lambda t: (('0x' || substr(md5(t), 1, 7))::BIGINT % 32000)::INT)"
+
+
+@query(f"""WITH p AS (SELECT b.item_id AS idx, b.item_id // 16 AS batch, (d.doc_id % 2)::INT AS labels, {_IDS.format(x="b.text")} || [2] || {_IDS.format(x="d.text")} || [2] AS ids FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+w AS (SELECT batch, (ceil(max(len(ids)) / 8.0) * 8)::INT AS width FROM p GROUP BY batch)
+SELECT idx, batch, labels, width, array_to_string(list_resize(ids, width, 0), ' ') AS input_ids FROM p JOIN w USING (batch)""")
+def pair_tokens(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("sentence1"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("sentence2"), (F.col("doc_id") % 2).cast("int").alias("labels"))
+    rows = records.pair_tokens(b.join(d, "idx")).withColumn("batch", F.floor(F.col("idx") / 16))
+    out = packing.collate(rows, "batch", pad=0, multiple=packing.pad_multiple("bf16"), labels=None)
+    return out.select("idx", "batch", "labels", "width", F.array_join("input_ids", " ").alias("input_ids"))
 _REC = f"""p AS (SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next, role, text FROM conversations),
 rec AS (SELECT conv_id, turn, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS instruction, reply AS output FROM p WHERE role = 'user' AND next = 'assistant'),
 ids AS (SELECT conv_id, turn, {_IDS.format(x="'<|im_start|>user' || chr(10) || instruction || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)")} AS a, {_IDS.format(x="output || '<|im_end|>' || chr(10)")} AS b FROM rec),
@@ -646,6 +663,18 @@ def varlen_align8(spark, sf):
     return v.select("shard", "kept", "total", F.array_join("seg_lens", " ").alias("seg_lens"), F.array_join("cu_seqlens", " ").alias("cu_seqlens"), "max_seqlen")
 
 
+@query(f"""WITH RECURSIVE {_LEN}, o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id) AS rn FROM n), f AS (
+  SELECT shard, doc_id, n, rn, 0 AS pack, n::BIGINT AS fill FROM o WHERE rn = 1
+  UNION ALL SELECT o.shard, o.doc_id, o.n, o.rn, CASE WHEN f.fill + o.n > 4096 THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.fill + o.n > 4096 THEN o.n ELSE f.fill + o.n END
+  FROM f JOIN o ON o.shard = f.shard AND o.rn = f.rn + 1
+), t AS (SELECT shard, pack, count(*)::INT AS kept, sum(n)::BIGINT AS fill, list(n ORDER BY rn) AS segs FROM f GROUP BY shard, pack),
+p AS (SELECT shard, pack, kept, fill, ((-fill % 8) + 8) % 8 AS gap, segs FROM t)
+SELECT shard, pack, kept, (fill + gap)::BIGINT AS total, array_to_string(CASE WHEN gap > 0 THEN segs || [gap::INT] ELSE segs END, ' ') AS seg_lens FROM p""")
+def varlen_carry_over(spark, sf):
+    v = packing.varlen_carried(_lengths(spark, sf), "shard", "doc_id", "n", 4096)
+    return v.select("shard", "pack", "kept", "total", F.array_join("seg_lens", " ").alias("seg_lens"))
+
+
 _SEGS = "s AS (SELECT doc_id, [(n_chars % 5 + 1)::INT, (n_chars % 3 + 1)::INT, 2] AS segs FROM documents)"
 
 

@@ -12,7 +12,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def task(spark: SparkSession, folder: str, group: str, name: str) -> DataFrame:
+def catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """(task_group, name) of the task tables under folder/group/name, in any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    below = lambda path: sorted((x.getPath().getName(), x.getPath()) for x in files.listStatus(path))
+    groups = [(name, path) for name, path in below(top) if files.getFileStatus(path).isDirectory()]
+    return spark.createDataFrame([(group, name) for group, path in groups for name, _ in below(path)], "task_group string, name string")
+
+
+def task(spark:SparkSession, folder: str, group: str, name: str) -> DataFrame:
     """A task's table (Parquet under folder/group/name) with its input columns and `label`; `split` if it has one."""
     df = spark.read.parquet(f"{folder}/{group}/{name}")
     inputs, label, _ = INPUTS.get(name, INPUTS.get(group, INPUTS[None]))

@@ -15,6 +15,14 @@ def streaming_votes(responses: DataFrame, dialect: str = "afirst") -> DataFrame:
     return evaluation.votes(evaluation.parse_samples(responses, dialect), keep=["label"])
 
 
+def follow_accuracy(predictions: DataFrame, sink: Callable[[DataFrame, int], None], by: list[str] | None = None, checkpoint: str | None = None) -> StreamingQuery:
+    """Calls `sink` with counts, accuracy and F1 so far of a stream of (label, score) after each trigger; the state is four counts a group."""
+    out = metrics.confusion(predictions, by=by).writeStream.outputMode("complete")
+    if checkpoint:
+        out = out.option("checkpointLocation", checkpoint)
+    return out.foreachBatch(sink).trigger(availableNow=True).start()
+
+
 def follow_auroc(responses: DataFrame, sink: Callable[[DataFrame, int], None], dialect: str = "afirst", checkpoint: str | None = None) -> StreamingQuery:
     """Calls `sink` with the AUROC so far after each trigger."""
     out = streaming_votes(responses, dialect).writeStream.outputMode("complete")
