@@ -41,6 +41,26 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _packed(raw: bytes) -> bytes:
+    """Compressed, behind its size."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packed_tokens(t: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as the byte planes of their differences: the high planes are nearly empty."""
+    steps = np.diff(t, prepend=t[:1] * 0).astype("<u4")
+    return _packed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked_tokens(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpacked(blob), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _digest(r: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size and two sums of differently mixed shingle hashes for each row."""
     n = np.bincount(r, minlength=n_rows)
@@ -91,10 +111,10 @@ def frequent_shingles(docs: DataFrame, k: int, n_buckets: int, parts: int, least
 
         def flush():
             b, t = _short(np.concatenate(pool), n_buckets)
-            by = np.argsort(b, kind="stable")
-            b, t = b[by], t[by]
+            key = np.sort((b << _U(32)) | t)
+            b, t = key >> _U(32), key.astype(np.uint32)
             cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-            blobs = [t[x:y].tobytes() for x, y in zip(cut, np.r_[cut[1:], len(b)], strict=True)]
+            blobs = [_packed_tokens(t[x:y]) for x, y in zip(cut, np.r_[cut[1:], len(b)], strict=True)]
             return pa.RecordBatch.from_arrays([_long(b[cut]), pa.array(blobs, pa.binary())], names=["bucket", "tokens"])
 
         for batch in batches:
@@ -111,7 +131,7 @@ def frequent_shingles(docs: DataFrame, k: int, n_buckets: int, parts: int, least
     def count(batches):
         for batch in batches:
             for bucket, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t, c = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in tokens]), return_counts=True)
+                t, c = np.unique(np.concatenate([_unpacked_tokens(x) for x in tokens]), return_counts=True)
                 t, c = t[c >= least], c[c >= least]
                 yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) | t.astype(np.int64)), pa.array(c.astype(np.int64))], names=["key", "df"])
 
@@ -144,7 +164,7 @@ def _prefix(r: np.ndarray, h: np.ndarray, n: np.ndarray, level: np.ndarray, orde
 
 
 def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int, orders: int, n_buckets: int, parts: int) -> DataFrame:
-    """(ord, list_id, h1, hub, times): the classes that share index tokens, with the smallest class of the list.
+    """(ord, list_id, h1, times): the classes that share index tokens.
 
     Tokens with equal lists are one list, `times` their number. A salted token's lists of one class may stand alone.
     """
@@ -165,14 +185,14 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
                 if not mine:
                     continue
                 t, c, b = (np.concatenate([x[i] for x in mine]) for i in range(3))
-                by = np.argsort(b, kind="stable")
+                by = np.argsort((b << 32) | t.astype(np.int64))
                 t, c, b = t[by], c[by], b[by]
                 cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
                 end = np.r_[cut[1:], len(b)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(b[cut] * orders + o),
-                        pa.array([t[x:y].tobytes() for x, y in zip(cut, end, strict=True)], pa.binary()),
+                        pa.array([_packed_tokens(t[x:y]) for x, y in zip(cut, end, strict=True)], pa.binary()),
                         pa.array([c[x:y].tobytes() for x, y in zip(cut, end, strict=True)], pa.binary()),
                     ],
                     names=["bucket", "tokens", "classes"],
@@ -215,7 +235,7 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
         for batch in batches:
             for bucket, tokens, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 o, salted = bucket % orders, bucket // orders >= n_buckets
-                t = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in tokens])
+                t = np.concatenate([_unpacked_tokens(x) for x in tokens])
                 c = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in classes])
                 by = np.lexsort((c, t))
                 t, c = t[by], c[by]
@@ -239,25 +259,22 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
                         pa.array(np.full(len(pick), o, dtype=np.int32)),
                         _long(np.repeat(ids[once], m[once])),
                         _long(c[pick]),
-                        _long(np.repeat(c[cut[once]], m[once])),
                         pa.array(np.repeat(times, m[once]).astype(np.int64)),
                     ],
-                    names=["ord", "list_id", "h1", "hub", "times"],
+                    names=["ord", "list_id", "h1", "times"],
                 )
 
     packed = docs.select("text").mapInArrow(pack, "bucket long, tokens binary, classes binary")
     grouped = packed.repartition(parts, "bucket").groupBy("bucket").agg(
         F.collect_list("tokens").alias("tokens"), F.collect_list("classes").alias("classes")
     )
-    return grouped.mapInArrow(lists, "ord int, list_id long, h1 long, hub long, times long").groupBy(
-        "ord", "list_id", "h1", "hub"
-    ).agg(F.sum("times").alias("times"))
+    return grouped.mapInArrow(lists, "ord int, list_id long, h1 long, times long").groupBy("ord", "list_id", "h1").agg(F.sum("times").alias("times"))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, chunk: int = 512) -> DataFrame:
     """The pairs (ha, hb) of (a, ha, b, hb) whose texts have the similarity; a and b are ids of rows with these digests.
 
-    Each hb goes to the group of its ha, in chunks of about `chunk` texts, so no group outgrows a task.
+    Each hb goes to the group of its ha, in chunks of about `chunk` texts, so no group outgrows a task. Texts move compressed.
     """
     sizes = pairs.groupBy("ha").agg(F.count("*").alias("m"))
     dealt = pairs.join(sizes, "ha").withColumn("chunk", F.pmod(F.xxhash64("hb"), F.ceil(F.col("m") / chunk).cast("long")))
@@ -265,12 +282,18 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int,
         dealt.select("ha", "chunk", F.lit(0).alias("role"), F.col("a").alias("doc_id"), F.col("ha").alias("h")).distinct()
     )
 
+    def squeeze(batches):
+        for batch in batches:
+            blobs = [None if x is None else _packed(x.encode()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "packed"])
+
     def run(batches):
         key, base = None, None
         for batch in batches:
             ha, chunk_no, role, want_h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             out_a, out_b = [], []
-            for first, rows, r, h in texts_to_shingles(batch.column(4), k):
+            texts = [None if x is None else _unpacked(x) for x in batch.column(4).to_pylist()]
+            for first, rows, r, h in texts_to_shingles(pa.array(texts, pa.large_binary()).cast(pa.large_string()), k):
                 n, h1, _ = _digest(r, h, rows)
                 head = np.cumsum(n) - n
                 for i in range(rows):
@@ -295,8 +318,8 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int,
     if few:
         texts = texts.join(F.broadcast(want.select("doc_id").distinct()), "doc_id", "left_semi")
     return (
-        want.join(texts, "doc_id")
-        .select("ha", "chunk", "role", "h", "text")
+        want.join(texts.mapInArrow(squeeze, "doc_id long, packed binary"), "doc_id")
+        .select("ha", "chunk", "role", "h", "packed")
         .repartition(parts, "ha", "chunk")
         .sortWithinPartitions("ha", "chunk", "role")
         .mapInArrow(run, "ha long, hb long")
@@ -384,6 +407,7 @@ def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent:
     """(h1, rep, n, component) of every class (h1, rep, n); a component is known by the least h1 in it."""
     home = reps.withColumn("component", F.col("h1"))
     members = lists.select("ord", "list_id", "times", "h1").join(reps, "h1")
+    del lists  # the first turn replaces them
 
     def contract(home: DataFrame, links: DataFrame) -> DataFrame:
         at = lambda s: home.select(F.col("h1").alias(f"h{s}"), F.col("component").alias(s))
@@ -397,6 +421,8 @@ def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent:
     before = float("inf")
     for turn in range(max_rounds + 1):
         open_ = _open_entries(members, home, percent, orders)
+        del members
+        tidy(docs.sparkSession)
         meeting = _meeting(open_)
         sizes = meeting.groupBy("list_id").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum("m")).first()
         if not sizes[0] or turn == max_rounds or turn and (sizes[0] <= 4 * sizes[1] or sizes[1] > 0.9 * before):
@@ -447,10 +473,8 @@ def ngram_components(
     n_buckets = max(parts, int(total * (100 - percent) / 100 / 400_000) + 1) * 2
     frequent = frequent_shingles(docs, k, n_buckets, parts)
     tidy(spark)
-    lists = durable(prefix_lists(docs, frequent, k, percent, orders, n_buckets, parts))
-    tidy(spark)
-
-    home = _linked(docs, classes.filter("rep is not null").select("h1", "rep", "n"), lists, k, percent, orders, parts, max_rounds)
+    reps = classes.filter("rep is not null").select("h1", "rep", "n")
+    home = _linked(docs, reps, durable(prefix_lists(docs, frequent, k, percent, orders, n_buckets, parts)), k, percent, orders, parts, max_rounds)
     smallest = home.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = classes.join(home.join(smallest, "component").select("h1", "component_id"), "h1", "left").select("n", "h1", "h2", "n_copies", "component_id")
     found = rows.filter("n > 0").join(final, ["n", "h1", "h2"]).select(
