@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Shuffle files and superseded checkpoints go when the driver collects its garbage; long chains of steps ask for it."""
+    """Shuffle files and superseded checkpoints go when the driver collects its garbage; long chains of steps ask for it.
+
+    Free memory of the driver's Python goes back to the system, too.
+    """
     gc.collect()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
     spark.sparkContext._jvm.System.gc()
 
 
