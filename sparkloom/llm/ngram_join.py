@@ -340,9 +340,12 @@ def _open_entries(members: DataFrame, home: DataFrame, percent: int, orders: int
     """The entries of lists with several components, of classes that could still have a partner there.
 
     A class needs, in every order, as many tokens in such lists as the least demanding size of a partner asks for. `share`
-    is the part of its shingles that lists hold, `least` that demand, `m` the size of the list.
+    is the part of its shingles that lists hold, `least` that demand, `m` the size of the list. `meets` marks the entries
+    of the first order through which partners must meet: each class goes through its lists from the smallest to the
+    largest, and two classes that share as many tokens as they must meet before what is left of their lists holds fewer
+    than that, so the largest lists drop out.
     """
-    entries = members.join(home.select("h1", "component"), "h1")
+    entries = members.join(home, "h1")
     of_list = entries.groupBy("ord", "list_id").agg(
         F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c1"), F.max("component").alias("c2")
     ).filter("c1 < c2").drop("c1", "c2")
@@ -350,24 +353,17 @@ def _open_entries(members: DataFrame, home: DataFrame, percent: int, orders: int
         {"lo": F.expr(f"greatest(lo, (n * {percent} + 99) div 100)"), "hi": F.expr(f"least(hi, n * 100 div {percent})")}
     ).filter("lo <= hi")
     # The demand falls with the distance of the sizes, so its least value is at an end of the range.
-    sized = sized.withColumn("least", F.greatest(F.lit(1), F.least(F.expr(_least("n", "lo", percent)), F.expr(_least("n", "hi", percent)))))
-    by_order = sized.groupBy("h1", "ord").agg(F.sum("times").alias("s"), F.min("least").alias("r"), F.first("n").alias("n"))
-    fit = by_order.filter("s >= r").groupBy("h1").agg(F.count("*").alias("found"), (F.sum("s") / F.first("n")).alias("share")).filter(F.col("found") == orders)
-    return durable(sized.drop("lo", "hi").join(fit.select("h1", "share"), "h1"))
-
-
-def _meeting(open_: DataFrame) -> DataFrame:
-    """(list_id, h1, n, component): the entries of the first order through which partners must meet.
-
-    Each class goes through its lists from the smallest to the largest. Two classes that share as many tokens as they
-    must meet before what is left of their lists holds fewer than that, so the largest lists drop out.
-    """
-    order = Window.partitionBy("h1").orderBy("m", "list_id")
-    first = open_.filter("ord = 0").select(
-        "list_id", "h1", "n", "component", (F.sum("times").over(order) - F.col("times")).alias("before"),
-        F.sum("times").over(Window.partitionBy("h1")).alias("s"), F.min("least").over(Window.partitionBy("h1")).alias("r"),
+    sized = sized.withColumn("least", F.greatest(F.lit(1), F.least(F.expr(_least("n", "lo", percent)), F.expr(_least("n", "hi", percent))))).drop("lo", "hi")
+    # A class has no more entries than shingles, so one pass over its own entries asks all of it.
+    own = Window.partitionBy("h1")
+    upto = own.orderBy("ord", "m", "list_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_order = lambda fn, col, o: fn(F.when(F.col("ord") == o, F.col(col))).over(own)
+    asked = sized.withColumns(
+        {f"room{o}": of_order(F.sum, "times", o) - of_order(F.min, "least", o) for o in range(orders)}
+        | {"share": F.sum("times").over(own) / F.col("n"), "before": F.sum("times").over(upto) - F.col("times")}
     )
-    return first.filter("before <= s - r").select("list_id", "h1", "n", "component")
+    fit = asked.filter(" AND ".join(f"room{o} >= 0" for o in range(orders)))
+    return durable(fit.withColumn("meets", F.expr("ord = 0 AND before <= room0")).drop("before", *[f"room{o}" for o in range(orders)]))
 
 
 def _agreed(meeting: DataFrame, open_: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -406,7 +402,7 @@ def _agreed(meeting: DataFrame, open_: DataFrame, percent: int, orders: int) ->
 def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent: int, orders: int, parts: int, max_rounds: int) -> DataFrame:
     """(h1, rep, n, component) of every class (h1, rep, n); a component is known by the least h1 in it."""
     home = reps.withColumn("component", F.col("h1"))
-    members = lists.select("ord", "list_id", "times", "h1").join(reps, "h1")
+    members = lists.select("ord", "list_id", "times", "h1")
     del lists  # the first turn replaces them
 
     def contract(home: DataFrame, links: DataFrame) -> DataFrame:
@@ -423,7 +419,7 @@ def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent:
         open_ = _open_entries(members, home, percent, orders)
         del members
         tidy(docs.sparkSession)
-        meeting = _meeting(open_)
+        meeting = open_.filter("meets").select("list_id", "h1", "n", "component")
         sizes = meeting.groupBy("list_id").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum("m")).first()
         if not sizes[0] or turn == max_rounds or turn and (sizes[0] <= 4 * sizes[1] or sizes[1] > 0.9 * before):
             break
@@ -432,11 +428,11 @@ def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent:
         one = open_.groupBy("ord", "list_id").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("h1").alias("ha"), F.col("n").alias("na"), F.col("component").alias("ca")), rank).alias("one"))
         x = open_.select("ord", "list_id", "times", F.col("rep").alias("b"), F.col("h1").alias("hb"), F.col("n").alias("nb"), F.col("component").alias("cb"))
         met = x.join(one.select("ord", "list_id", "one.*"), ["ord", "list_id"]).filter("ca <> cb")
-        met = met.groupBy("a", "ha", "na", "b", "hb", "nb", "ord").agg(F.sum("times").alias("times"))
-        met = met.groupBy("a", "ha", "na", "b", "hb", "nb").agg(F.min("times").alias("least_times"), F.count("*").alias("agree"))
-        pairs = durable(met.filter((F.col("agree") == orders) & enough).select("a", "ha", "b", "hb"))
+        met = met.groupBy("a", "ha", "na", "b", "hb", "nb").agg(*[F.sum(F.when(F.col("ord") == o, F.col("times"))).alias(f"t{o}") for o in range(orders)])
+        agreed = met.withColumn("least_times", F.array_min(F.array(*[F.coalesce(f"t{o}", F.lit(0)) for o in range(orders)]))).filter("least_times > 0")
+        pairs = durable(agreed.filter(enough).select("a", "ha", "b", "hb"))
         home = contract(home, verify(docs, pairs, k, percent, parts))
-        members = open_.select("ord", "list_id", "times", "h1", "n", "rep")
+        members = open_.select("ord", "list_id", "times", "h1")
 
     # What is left: every pair of different components that every order lists.
     if sizes[0]:
