@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 
@@ -36,6 +37,22 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed(run):
+    """`run` over Arrow batches; at the end of a task the worker's free memory goes back to the system.
+
+    Idle workers stay beside the executor, so what they keep counts against it.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most systems has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of `edges` (a, b): the smallest node that is reachable.
 

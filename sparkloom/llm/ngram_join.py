@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm._text import mix, texts_to_shingles
-from sparkloom.llm.components import connected, durable, tidy
+from sparkloom.llm.components import connected, durable, tidy, trimmed
 
 _U = np.uint64
 _FLUSH = 2_000_000
@@ -83,7 +83,7 @@ def shingle_digests(docs: DataFrame, k: int) -> DataFrame:
                 n, h1, h2 = _digest(r, h, rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(n), _long(h1), _long(h2)], names=["doc_id", "n", "h1", "h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n long, h1 long, h2 long")
 
 
 def _new_classes(n: np.ndarray, h1: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -135,9 +135,9 @@ def frequent_shingles(docs: DataFrame, k: int, n_buckets: int, parts: int, least
                 t, c = t[c >= least], c[c >= least]
                 yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) | t.astype(np.int64)), pa.array(c.astype(np.int64))], names=["key", "df"])
 
-    packed = docs.select("text").mapInArrow(pack, "bucket long, tokens binary")
+    packed = docs.select("text").mapInArrow(trimmed(pack), "bucket long, tokens binary")
     grouped = packed.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("tokens").alias("tokens"))
-    counts = durable(grouped.mapInArrow(count, "key long, df long"))
+    counts = durable(grouped.mapInArrow(trimmed(count), "key long, df long"))
     # Counts fall into at most 512 classes, eight a power of two; whole classes are taken from the top while they fit.
     step = F.floor(F.log2(F.col("df").cast("double")) * 8).cast("int")
     left, floor = MAX_FREQUENT, 1 << 20
@@ -264,11 +264,11 @@ def prefix_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: in
                     names=["ord", "list_id", "h1", "times"],
                 )
 
-    packed = docs.select("text").mapInArrow(pack, "bucket long, tokens binary, classes binary")
+    packed = docs.select("text").mapInArrow(trimmed(pack), "bucket long, tokens binary, classes binary")
     grouped = packed.repartition(parts, "bucket").groupBy("bucket").agg(
         F.collect_list("tokens").alias("tokens"), F.collect_list("classes").alias("classes")
     )
-    return grouped.mapInArrow(lists, "ord int, list_id long, h1 long, times long").groupBy("ord", "list_id", "h1").agg(F.sum("times").alias("times"))
+    return grouped.mapInArrow(trimmed(lists), "ord int, list_id long, h1 long, times long").groupBy("ord", "list_id", "h1").agg(F.sum("times").alias("times"))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int, chunk: int = 512) -> DataFrame:
@@ -318,11 +318,11 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, parts: int,
     if few:
         texts = texts.join(F.broadcast(want.select("doc_id").distinct()), "doc_id", "left_semi")
     return (
-        want.join(texts.mapInArrow(squeeze, "doc_id long, packed binary"), "doc_id")
+        want.join(texts.mapInArrow(trimmed(squeeze), "doc_id long, packed binary"), "doc_id")
         .select("ha", "chunk", "role", "h", "packed")
         .repartition(parts, "ha", "chunk")
         .sortWithinPartitions("ha", "chunk", "role")
-        .mapInArrow(run, "ha long, hb long")
+        .mapInArrow(trimmed(run), "ha long, hb long")
     )
 
 
@@ -396,7 +396,7 @@ def _agreed(meeting: DataFrame, open_: DataFrame, percent: int, orders: int) ->
                 keep.append(all(int(ta[oa == o][np.isin(la[oa == o], lb[ob == o])].sum()) >= least[i] for o in range(orders)))
             yield pa.RecordBatch.from_arrays([cols[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "ha", "b", "hb")], names=["a", "ha", "b", "hb"])
 
-    return met.mapInArrow(run, "a long, ha long, b long, hb long").distinct()
+    return met.mapInArrow(trimmed(run), "a long, ha long, b long, hb long").distinct()
 
 
 def _linked(docs: DataFrame, reps: DataFrame, lists: DataFrame, k: int, percent: int, orders: int, parts: int, max_rounds: int) -> DataFrame:
