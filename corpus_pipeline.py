@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, mixing, ngram_join, secrets, sentencepiece_scan
-from sparkloom.llm.components import checkpoint_dir
+from sparkloom.llm.components import checkpoint_dir, tidy
 from sparkloom.llm.queries import table, tokenizer_path
 
 #: SQL can't express these stages (trained models, iterations); tests hold them against plain versions.
@@ -53,12 +53,22 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(docs, tokenizer_path())
 
 
+def tidied(stage):
+    """`stage` on a driver that has given back what the stages before it left."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language),
-    ("ngram_join", near_duplicates),
-    ("secret_scan", secret_scan),
-    ("mix_to_weights", source_mix),
-    ("sentencepiece", pieces),
+    ("language_id", tidied(language)),
+    ("ngram_join", tidied(near_duplicates)),
+    ("secret_scan", tidied(secret_scan)),
+    ("mix_to_weights", tidied(source_mix)),
+    ("sentencepiece", tidied(pieces)),
 ]
 
 
