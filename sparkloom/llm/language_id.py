@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm._text import slices
+from sparkloom.llm.components import trimmed
 
 #: Related languages; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -191,7 +192,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
                 [*batch.columns[:text_at], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*kept, pred_col, score_col]
             )
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(trimmed(run), schema)
 
 
 def held_out(id_col: str = "doc_id", mod: int = 3, fold: int = 1) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._text import slices
+from sparkloom.llm.components import trimmed
 from sparkloom.llm.token_counts import _pretokens
 
 MARK = "▁"
@@ -309,7 +310,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     columns.append(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    plain = rows.filter(~giant).mapInArrow(small, schema)
+    plain = rows.filter(~giant).mapInArrow(trimmed(small), schema)
 
     # Giant documents: chunks to rows, dealt by document and chunk.
     edge = 16
@@ -339,7 +340,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         return pd.DataFrame({"h": pdf["h"], "m": pdf["m"], "n_chars": pdf["n_chars"], "chunk_no": pdf["chunk_no"], "left": [0, *right[:-1]], "right": right})
 
     kind = "struct<h: long, m: string, n_chars: long>"
-    steps = cut.mapInArrow(matrices, f"key {kind}, chunk_no int, rows int, cols int, matrix binary").select("key.*", "chunk_no", "rows", "cols", "matrix")
+    steps = cut.mapInArrow(trimmed(matrices), f"key {kind}, chunk_no int, rows int, cols int, matrix binary").select("key.*", "chunk_no", "rows", "cols", "matrix")
     at = steps.groupBy("h", "m", "n_chars").applyInPandas(states, "h long, m string, n_chars long, chunk_no int, left int, right int")
     both = cut.join(at.select(F.struct("h", "m", "n_chars").alias("key"), "chunk_no", "left", "right"), ["key", "chunk_no"])
 
@@ -355,7 +356,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 names=["key", "chunk_no", "ids", "digest", "power"],
             )
 
-    chunks = both.mapInArrow(traced, f"key {kind}, chunk_no int, ids array<int>, digest long, power long")
+    chunks = both.mapInArrow(trimmed(traced), f"key {kind}, chunk_no int, ids array<int>, digest long, power long")
     whole = chunks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "ids", "digest", "power"))).alias("c"))
 
     def finish(batches):
@@ -374,7 +375,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 names=["key", "n_chunks", "n_tokens", "digest", "decoded", "ids"],
             )
 
-    done = whole.mapInArrow(finish, f"key {kind}, n_chunks int, n_tokens long, digest long, decoded string, ids array<int>")
+    done = whole.mapInArrow(trimmed(finish), f"key {kind}, n_chunks int, n_tokens long, digest long, decoded string, ids array<int>")
     done = done.select("key", "n_chunks", "n_tokens", "digest", F.md5("decoded").alias("decoded"), *(["ids"] if with_ids else []))
     large = big.select("doc_id", "key").join(done, "key").select(
         "doc_id", F.col("key.n_chars").alias("n_chars"), "n_chunks", "n_tokens", "digest", (F.col("decoded") == F.col("key.m")).alias("round_trip"),

@@ -1,7 +1,7 @@
-"""The driver gives native memory back, before every stage of the pipeline."""
+"""The driver gives native memory back before every stage of the pipeline, workers at the end of their tasks."""
 
 import corpus_pipeline
-from sparkloom.llm import components
+from sparkloom.llm import components, language_id, sentencepiece_scan
 
 
 def test_the_jvm_trims_its_native_heap(spark):
@@ -16,3 +16,13 @@ def test_every_stage_tidies_first(spark, monkeypatch):
         before = len(calls)
         stage(spark, docs, "")
         assert len(calls) > before, i
+
+
+def test_workers_of_pieces_and_language_trim(spark, monkeypatch):
+    seen = []
+    for module in (sentencepiece_scan, language_id):
+        monkeypatch.setattr(module, "trimmed", lambda run: seen.append(run.__name__) or run)
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    sentencepiece_scan.encode(docs, "unread")
+    language_id.identify(docs, None)
+    assert seen == ["small", "matrices", "traced", "finish", "run"]
