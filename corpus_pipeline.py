@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, mixing, ngram_join, secrets, sentencepiece_scan
-from sparkloom.llm.components import checkpoint_dir, tidy
+from sparkloom.llm.components import checkpoint_dir, shrink_executors, tidy
 from sparkloom.llm.queries import table, tokenizer_path
 
 #: SQL can't express these stages (trained models, iterations); tests hold them against plain versions.
@@ -54,10 +54,11 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tidied(stage):
-    """`stage` on a driver that has given back what the stages before it left."""
+    """`stage` on a driver and executors that have given back what the stages before it left."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         tidy(spark)
+        shrink_executors(spark)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -261,6 +261,19 @@ def _long(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _parts(batches, rows: int = 16):
+    """The batches, a few rows at a time: a row holds a chunk or a giant document, and becomes many Python objects."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    """Ids as one Arrow column, without a Python object for each."""
+    offs = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+
+
 def _bodies(text: Column, chunk: int, edge: int) -> Column:
     """(chunk_no, body, lo, hi) of every chunk of a text, with `edge` characters of the text on both sides."""
     whole = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
@@ -323,7 +336,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         pieces = Pieces(model_path)
         if pieces.longest > edge:
             raise ValueError("a piece is longer than the overlap of chunks")
-        for batch in batches:
+        for batch in _parts(batches):
             out = []
             for r in batch.select(["chunk_no", "body", "lo", "hi", "is_last"]).to_pylist():
                 m = transfer(pieces, r["body"], r["lo"], r["hi"], r["chunk_no"] == 0, r["is_last"])
@@ -346,13 +359,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def traced(batches):
         pieces = Pieces(model_path)
-        for batch in batches:
+        for batch in _parts(batches):
             ids, ends = [], []
             for r in batch.select(["chunk_no", "body", "lo", "hi", "is_last", "left", "right"]).to_pylist():
                 ids.append(trace(pieces, r["body"], r["lo"], r["hi"], r["chunk_no"] == 0, r["is_last"], r["left"], r["right"]))
                 ends.append(_digest(ids[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("chunk_no"), pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([x[0] for x in ends], pa.int64()), pa.array([x[1] for x in ends], pa.int64())],
+                [batch.column("key"), batch.column("chunk_no"), _lists(ids), pa.array([x[0] for x in ends], pa.int64()), pa.array([x[1] for x in ends], pa.int64())],
                 names=["key", "chunk_no", "ids", "digest", "power"],
             )
 
@@ -361,19 +374,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def finish(batches):
         pieces = Pieces(model_path)
-        for batch in batches:
-            out = []
-            for k, c in zip(batch.column("key").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                d, n = 0, 0
-                for x in c:
-                    d, n = _long(d * x["power"] + x["digest"]), n + len(x["ids"])
-                ids = np.concatenate([np.array(x["ids"], dtype=np.int32) for x in c])
-                text = decode_ids(pieces, ids)
-                out.append((k, len(c), n, d, text[1:] if text[:1] == " " else text, ids.tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *[pa.array([x[i] for x in out], t) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()), (4, pa.string()), (5, pa.list_(pa.int32())))]],
-                names=["key", "n_chunks", "n_tokens", "digest", "decoded", "ids"],
-            )
+        for batch in _parts(batches, 1):
+            c = batch.column("c").flatten()
+            d, ids = 0, c.field("ids").flatten().to_numpy()
+            for digest, power in zip(c.field("digest").to_pylist(), c.field("power").to_pylist(), strict=True):
+                d = _long(d * power + digest)
+            text = decode_ids(pieces, ids)
+            columns = [pa.array([len(c)], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([d], pa.int64()), pa.array([text[1:] if text[:1] == " " else text]), _lists([ids])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", "n_chunks", "n_tokens", "digest", "decoded", "ids"])
 
     done = whole.mapInArrow(trimmed(finish), f"key {kind}, n_chunks int, n_tokens long, digest long, decoded string, ids array<int>")
     done = done.select("key", "n_chunks", "n_tokens", "digest", F.md5("decoded").alias("decoded"), *(["ids"] if with_ids else []))
